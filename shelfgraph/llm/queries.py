@@ -6,13 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfgraph.llm import oracle, quality_rules
+from shelfgraph.llm import bpe, oracle, quality_rules, token_orc
+from shelfgraph.llm.shared import map_batches
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file on this machine; executors have the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_batches(docs, bpe.digests(tokenizer_path("word_bpe_49k.json")), schema)
+
+
+def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.token_digests(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.score_documents(_documents(spark, sf_dir))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
