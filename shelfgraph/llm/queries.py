@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfgraph.llm import bpe, oracle, quality_rules, token_orc
+from shelfgraph.llm import bpe, minhash, oracle, quality_rules, simhash, token_orc
 from shelfgraph.llm.shared import map_batches
 
 
@@ -31,6 +32,15 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_digests(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_minhash_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_with_next(_documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.score_documents(_documents(spark, sf_dir))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
