@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgraph.llm import bpe, minhash, oracle, quality_rules, simhash, token_orc
+from shelfgraph.llm import bpe, minhash, mixing, oracle, quality_rules, simhash, token_orc
 from shelfgraph.llm.shared import map_batches
 
 
@@ -37,6 +37,11 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op9_minhash_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(_documents(spark, sf_dir))
 
