@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgraph.llm import bpe, minhash, mixing, oracle, quality_rules, simhash, token_orc
+from shelfgraph.llm import bpe, minhash, mixing, oracle, quality_classifier, quality_rules, simhash, token_orc, toxicity
 from shelfgraph.llm.shared import map_batches
 
 
@@ -42,6 +42,24 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _fold(m: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(m))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows, share = toxicity.training_rows(docs, labels.where(_fold(4) != 2), "toxic")
+    model = toxicity.fit([t for t, _ in rows], [y for _, y in rows], share=share)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality_classifier.score_documents(docs, labels.where(_fold(5) != 0))
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_minhash_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(_documents(spark, sf_dir))
 
