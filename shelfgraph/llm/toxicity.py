@@ -55,7 +55,9 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """Lower-cased words; one that repeats the word before it is left out, so that a run of one word doesn't fill a window."""
+    words = (text or "").lower().split()
+    return [w for w, before in zip(words, ["", *words]) if w != before]  # noqa: B905
 
 
 def window_starts(n_words: int) -> np.ndarray:
