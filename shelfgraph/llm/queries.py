@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgraph.llm import bpe, minhash, mixing, oracle, quality_classifier, quality_rules, simhash, token_orc, toxicity
+from shelfgraph.llm import bpe, license_scan, minhash, mixing, oracle, quality_classifier, quality_rules, simhash, token_orc, toxicity
 from shelfgraph.llm.shared import map_batches
 
 
@@ -22,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -74,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": oracle.quality_rules_sql()}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op10_quality_rules": oracle.quality_rules_sql()}
