@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgraph.llm import bpe, license_scan, minhash, mixing, oracle, quality_classifier, quality_rules, simhash, token_orc, toxicity
+from shelfgraph.llm import bpe, license_scan, line_dedup, minhash, mixing, oracle, quality_classifier, quality_rules, simhash, token_orc, toxicity
 from shelfgraph.llm.shared import map_batches
 
 
@@ -46,6 +46,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_chars", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def _fold(m: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(m))
 
