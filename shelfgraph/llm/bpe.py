@@ -25,6 +25,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 NO_RANK = np.int64(1 << 40)
@@ -258,15 +259,19 @@ def digests(path: str):
     return make
 
 
-def ids_and_text(path: str):
-    """For map_batches: (text) to (ids, decoded text)."""
+def encoded_rows(path: str):
+    """For map_batches: (..., text) to the columns before the text, ids and decoded text."""
 
     def make():
         own = codec(path)
 
         def each(batch):
-            got = own.encode_batch(batch.column(0).to_pylist())
-            return [[np.frombuffer(a, "<u4").astype(np.int32) for a, _ in got], [t for _, t in got]]
+            k = batch.num_columns - 1
+            got = own.encode_batch(batch.column(k).to_pylist())
+            ends = np.cumsum([len(a) // 4 for a, _ in got], dtype=np.int64)
+            flat = pa.array(np.frombuffer(b"".join([a for a, _ in got]), "<u4").astype(np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
+            return [*(batch.column(i) for i in range(k)), ids, [t for _, t in got]]
 
         return each
 
