@@ -130,7 +130,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that score_documents would keep, with docs' columns. Statistics are computed in two passes, so no text is shuffled or written."""
-    stats = with_stats(docs, text).withColumn("__qr_votes", votes())
-    fitted = written(patterns(stats.select("__qr_votes")), "quality-patterns").where("posterior >= 0.5").select(F.col("votes").alias("__qr_good"))
-    kept = stats.where(~base_failed()).join(F.broadcast(fitted), stats["__qr_votes"] == fitted["__qr_good"], "left_semi")
-    return kept.select(*docs.columns)
+    # the base rules join the key: as a filter they would be pushed below the projections, which copies their expressions many times
+    key = F.array_append("__qr_votes", base_failed().cast("int")).alias("__qr_key")
+    stats = with_stats(docs, text).withColumn("__qr_votes", votes()).select(*docs.columns, "__qr_votes", key)
+    fitted = written(patterns(stats.select("__qr_votes")), "quality-patterns").where("posterior >= 0.5")
+    good = fitted.select(F.array_append("votes", F.lit(0)).alias("__qr_good"))
+    return stats.join(F.broadcast(good), stats["__qr_key"] == good["__qr_good"], "left_semi").select(*docs.columns)
