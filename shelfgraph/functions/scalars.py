@@ -141,12 +141,12 @@ def parsed_list(x: C) -> Column:
 
 def split_multi(x: C) -> Column:
     """[SCL-A7, A12] items between semicolons, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), ";"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), ";"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def clean_ids(a: C) -> Column:
     """[SCL-A3, SET5] trimmed ids without blanks; first occurrences."""
-    return F.array_distinct(F.filter(F.transform(_c(a), F.trim), lambda v: v.isNotNull() & (v != "")))
+    return F.array_distinct(F.filter(F.transform(_c(a), lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != "")))
 
 
 def clean_strings(a: C, lower: bool = True, exclude=(), drop_numeric: bool = False, min_length: int = 0, parts=(), patterns=()) -> Column:
@@ -172,7 +172,7 @@ def clean_authors(a: C) -> Column:
 
 def unique_ignoring_case(a: C) -> Column:
     """[SCL-A10, A11, A13] trimmed items, each once whatever its case; the first casing stays."""
-    items = F.filter(F.transform(_c(a), F.trim), lambda v: v.isNotNull() & (v != ""))
+    items = F.filter(F.transform(_c(a), lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
     return F.aggregate(items, F.array().cast("array<string>"), lambda s, x: F.when(F.exists(s, lambda y: F.lower(y) == F.lower(x)), s).otherwise(F.array_append(s, x)))
 
 

@@ -93,7 +93,7 @@ def communities(edges: DataFrame, resolutions: tuple = RESOLUTIONS, seed: int =
     two_m = 2 * (edges.agg(F.sum("score")).first()[0] or 0.0)
     own = edges.join(labels, "source").withColumn("resolution", F.explode(F.array(*map(F.lit, resolutions))))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["source", "target"])
         found = leiden(list(zip(rows["source"], rows["target"], rows["score"], strict=True)), two_m, key[1], seed)
         return pd.DataFrame({"component": key[0], "resolution": key[1], "id": list(found), "c": list(found.values())})

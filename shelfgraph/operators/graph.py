@@ -127,7 +127,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int = 500, seed: int
     labels = connected_components(edges, "source", "target").withColumnRenamed("node", "id")
     own = edges.join(labels.withColumnRenamed("id", "source"), "source").select("component", "source", "target", "score")
     own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    picked = chosen.join(labels, "id").select("component", "id", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    # renamed, so that both sides may come from one lineage
+    picked = chosen.join(labels, "id").select(F.col("component").alias("c"), F.col("id").alias("pivot"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"))
     scale = (n / max(k, 1)) / max((n - 1) * (n - 2), 1)
 
     def part(e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -136,10 +137,10 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int = 500, seed: int
             adjacency[s].append((t, w))
             adjacency[t].append((s, w))
         total: dict = defaultdict(float)
-        for source in p["id"]:
+        for source in p["pivot"]:
             for v, x in _brandes(adjacency, source, weighted).items():
                 total[v] += x
         return pd.DataFrame({"id": list(total), "x": list(total.values())})
 
-    sums = own.groupBy("component", "part").cogroup(picked.groupBy("component", "part")).applyInPandas(part, "id long, x double").groupBy("id").agg(F.sum("x").alias("x"))
+    sums = own.groupBy("component", "part").cogroup(picked.groupBy("c", "p")).applyInPandas(part, "id long, x double").groupBy("id").agg(F.sum("x").alias("x"))
     return nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("x", F.lit(0.0)) * scale).alias("betweenness"))

@@ -48,12 +48,13 @@ def neighbours(vectors: DataFrame, k: int, threshold: float = -1.0, weight: floa
     dealt = vectors.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = dealt.withColumn("j", others).withColumnRenamed("blk", "i")
-    right = dealt.withColumn("i", others).withColumnRenamed("blk", "j")
+    # renamed, so that both sides may come from one lineage
+    right = dealt.withColumn("i", others).select(F.col("i").alias("ri"), F.col("blk").alias("rj"), *[F.col(c).alias(f"r_{c}") for c in vectors.columns])
 
     def products(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"src": [], "dst": [], "score": []})
-        b = b.sort_values("id").reset_index(drop=True)
+        b = b.rename(columns=lambda c: c.removeprefix("r_")).sort_values("id").reset_index(drop=True)
         s = _dense(a) @ _dense(b).T
         if w > 0:
             s = (1 - w) * s + w * _sparse(a, b)
@@ -68,7 +69,7 @@ def neighbours(vectors: DataFrame, k: int, threshold: float = -1.0, weight: floa
         r, c = np.nonzero(keep & np.isfinite(s))
         return pd.DataFrame({"src": ai[r], "dst": bi[c], "score": s[r, c]})
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(products, "src long, dst long, score double")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(products, "src long, dst long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst")))
     return ranked.where(F.col("rank") <= k) if k else ranked
 
