@@ -167,11 +167,11 @@ def anti_existing(spark, d):
 @query("best_edition_fallback", """
 WITH best AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 4),
 firsts AS (SELECT l_orderkey, arg_min(l_partkey, struct_pack(l := l_linenumber, p := l_partkey)) AS p FROM lineitem GROUP BY l_orderkey)
-SELECT o_orderkey, coalesce(min(b.l_partkey), min(f.p)) AS partkey FROM orders LEFT JOIN best b ON b.l_orderkey = o_orderkey LEFT JOIN firsts f ON f.l_orderkey = o_orderkey GROUP BY o_orderkey""")
+SELECT o_orderkey, coalesce(min(b.l_partkey), min(f.p)) AS partkey FROM orders LEFT JOIN best b ON b.l_orderkey = o_orderkey LEFT JOIN firsts f ON f.l_orderkey = o_orderkey GROUP BY o_orderkey HAVING min(f.p) IS NOT NULL""")
 def best_edition_fallback(spark, d):
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber")
     each = lines.groupBy("o_orderkey").agg(F.min(F.when(F.col("l_linenumber") == 4, F.col("l_partkey"))).alias("best"), F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("first"))
-    return table(spark, d, "orders").select("o_orderkey").join(each, "o_orderkey", "left").select("o_orderkey", F.coalesce("best", "first").alias("partkey"))
+    return table(spark, d, "orders").select("o_orderkey").join(each, "o_orderkey").select("o_orderkey", F.coalesce("best", "first").alias("partkey"))
 
 
 @query("nested_tags_union", "SELECT p_brand, string_agg(DISTINCT tag, ';' ORDER BY tag) AS tags, count(DISTINCT tag) AS n FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY p_brand")
