@@ -85,3 +85,33 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     fit = fit.withColumn("slope", slope).withColumn("intercept", F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.col("my") - F.col("slope") * F.col("mx"))))
     error = own.join(F.broadcast(fit), F.lit(True)).agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.sqrt(F.avg(F.pow(F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"), 2))).alias("rmse"))
     return error
+
+
+def cluster_profile(members: DataFrame, title: str, limit: int = 5) -> DataFrame:
+    """[AGG46, SRT3] (cluster_id, size, titles): distinct titles, the first `limit` in order, a line each; largest cluster first."""
+    size = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    once = members.where(F.col(title).isNotNull()).select("cluster_id", F.col(title).alias("t")).distinct()
+    top = once.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("t"))).where(F.col("r") <= limit)
+    titles = top.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]), "\n").alias("titles"))
+    return size.join(titles, "cluster_id", "left").orderBy(F.desc("size"), "cluster_id")
+
+
+def inspect_cluster(members: DataFrame, cluster_id, title: str, limit: int = 25) -> DataFrame:
+    """[SRT2, SRT4, FLT12, GRF10] the cluster's rows by title, the first `limit`; an empty cluster is an error."""
+    own = members.where(F.col("cluster_id") == cluster_id)
+    if not own.limit(1).count():
+        raise ValueError(f"no members in cluster {cluster_id}")
+    return own.orderBy(title).limit(limit)
+
+
+def coverage(encoded: DataFrame, works: DataFrame, edges: DataFrame) -> DataFrame:
+    """[AGG37] one row: share of works with a vector, and of vectors with an edge."""
+    w, e = works.agg(F.count("*").alias("w")), encoded.agg(F.count("*").alias("e"))
+    g = edges.select(F.explode(F.array("source", "target")).alias("id")).agg(F.countDistinct("id").alias("g"))
+    return w.join(e, F.lit(True)).join(g, F.lit(True)).select((F.col("e") / F.col("w")).alias("embedding_coverage"), (F.col("g") / F.col("e")).alias("graph_coverage"))
+
+
+def success(metrics: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """[AGG36] (metric, value, threshold, met) of one row of metrics; a missing value isn't met."""
+    pairs = [F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value"), F.lit(float(t)).alias("threshold")) for k, t in thresholds.items()]
+    return metrics.select(F.explode(F.array(*pairs)).alias("m")).select("m.*", F.coalesce(F.col("m.value") >= F.col("m.threshold"), F.lit(False)).alias("met"))

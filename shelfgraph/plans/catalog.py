@@ -591,3 +591,24 @@ SELECT round(first(slope), 4) AS slope, round(first(intercept), 4) AS intercept,
 def ols_runtime(spark, d):
     x = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("x"), F.sum("l_extendedprice").alias("y"))
     return analysis.linear_fit(x, "x", "y").select(*[F.round(c, 4).alias(c) for c in ("slope", "intercept", "rmse")])
+
+
+@query("cluster_profile", f"""WITH {_MEMBERS}, t AS (SELECT DISTINCT cluster_id, source AS t FROM members), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY t) AS r FROM t)
+SELECT m.cluster_id, m.size, string_agg(t, chr(10) ORDER BY r) AS titles FROM (SELECT cluster_id, count(*) AS size FROM members GROUP BY 1) m JOIN r ON r.cluster_id = m.cluster_id AND r.r <= 5 GROUP BY 1, 2""")
+def cluster_profile(spark, d):
+    return analysis.cluster_profile(_members(spark, d), "source")
+
+
+@query("coverage_success", f"""WITH {_pairs(0.3, 10)}, c AS (SELECT (SELECT count(*) FROM u) / (SELECT count(*) FROM documents) AS e, (SELECT count(DISTINCT id) FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges)) / (SELECT count(*) FROM u) AS g)
+SELECT 'embedding_coverage' AS metric, e AS value, 0.9::DOUBLE AS threshold, e >= 0.9 AS met FROM c UNION ALL SELECT 'graph_coverage', g, 0.3, g >= 0.3 FROM c""")
+def coverage_success(spark, d):
+    c = analysis.coverage(_nodes(spark, d), table(spark, d, "documents"), _edges(spark, d))
+    return analysis.success(c, {"embedding_coverage": 0.9, "graph_coverage": 0.3})
+
+
+@query("fuzzy_edit_ratio")
+def fuzzy_edit_ratio(spark, d):
+    from shelfgraph.functions.fuzzy import token_set_ratio, token_sort_ratio
+
+    pairs = tables.similar_names(table(spark, d, "part"), "p_name", 30, blocked=False)
+    return pairs.select("source", "candidate", F.round(token_sort_ratio(F.col("source"), F.col("candidate")), 4).alias("sort_ratio"), F.round(token_set_ratio(F.col("source"), F.col("candidate")), 4).alias("set_ratio"))
