@@ -26,7 +26,7 @@ SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("acknowledgment", "acknowledgement"), ("analogue", "analog"),
     ("authorisation", "authorization"), ("centre", "center"), ("favour", "favor"), ("fulfil ", "fulfill "), ("initialise", "initialize"), ("judgment", "judgement"),
     ("labour", "labor"), ("non-commercial", "noncommercial"), ("organisation", "organization"), ("per cent", "percent"),
-    ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("copyright owner", "copyright holder"), ("https://", "http://"),
+    ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("copyright owner", "copyright holder"), ("https://", "http://"), ("ς", "σ"),
 )
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.

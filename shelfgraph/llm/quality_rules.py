@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfgraph.llm.shared import fresh
 from shelfgraph.session import written
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -130,9 +131,10 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that score_documents would keep, with docs' columns. Statistics are computed in two passes, so no text is shuffled or written."""
+    p = fresh(docs, "__qr_")
     # the base rules join the key: as a filter they would be pushed below the projections, which copies their expressions many times
-    key = F.array_append("__qr_votes", base_failed().cast("int")).alias("__qr_key")
-    stats = with_stats(docs, text).withColumn("__qr_votes", votes()).select(*docs.columns, "__qr_votes", key)
-    fitted = written(patterns(stats.select("__qr_votes")), "quality-patterns").where("posterior >= 0.5")
-    good = fitted.select(F.array_append("votes", F.lit(0)).alias("__qr_good"))
-    return stats.join(F.broadcast(good), stats["__qr_key"] == good["__qr_good"], "left_semi").select(*docs.columns)
+    key = F.array_append(f"{p}votes", base_failed(p).cast("int")).alias(f"{p}key")
+    stats = with_stats(docs, text, p).withColumn(f"{p}votes", votes(p)).select(*docs.columns, f"{p}votes", key)
+    fitted = written(patterns(stats.select(f"{p}votes"), f"{p}votes"), "quality-patterns").where("posterior >= 0.5")
+    good = fitted.select(F.array_append("votes", F.lit(0)).alias(f"{p}good"))
+    return stats.join(F.broadcast(good), stats[f"{p}key"] == good[f"{p}good"], "left_semi").select(*docs.columns)

@@ -11,8 +11,16 @@ from pyspark.sql import DataFrame
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str) -> DataFrame:
-    """df through make()(batch), which returns columns of schema. make runs once for each task.
+def fresh(df: DataFrame, prefix: str) -> str:
+    """prefix, with underscores before it until no column of df starts so."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str, most: int = 32 << 20) -> DataFrame:
+    """df through make()(batch), which returns columns of schema. make runs once for each task;
+    batches come in slices of about `most` bytes.
 
     make must be a function of a module, so that tasks import it instead of receiving a copy.
     """
@@ -24,7 +32,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, most):
                 cols = each(part)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 

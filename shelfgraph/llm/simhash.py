@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfgraph.llm.shared import map_batches
+from shelfgraph.llm.shared import fresh, map_batches
 from shelfgraph.operators.components import connected_components
 from shelfgraph.session import written
 
@@ -134,8 +134,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The first row of each component (least id, then least text hash), with docs' columns."""
-    firsts = near_duplicates(docs, doc_id, text).select("first").distinct().select(F.col("first.doc_id").alias("__sh_id"), F.col("first.text_hash").alias("__sh_hash"))
-    keyed = docs.withColumn("__sh_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = keyed.join(firsts, keyed[doc_id].cast("long").eqNullSafe(F.col("__sh_id")) & (F.col("__sh_key") == F.col("__sh_hash")), "left_semi")
-    one = Window.partitionBy(doc_id, "__sh_key").orderBy(doc_id)
-    return kept.withColumn("__sh_row", F.row_number().over(one)).where("__sh_row = 1").select(*docs.columns)
+    p = fresh(docs, "__sh_")
+    firsts = near_duplicates(docs, doc_id, text).select("first").distinct().select(F.col("first.doc_id").alias(f"{p}id"), F.col("first.text_hash").alias(f"{p}hash"))
+    keyed = docs.withColumn(f"{p}key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = keyed.join(firsts, keyed[doc_id].cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}key") == F.col(f"{p}hash")), "left_semi")
+    one = Window.partitionBy(doc_id, f"{p}key").orderBy(doc_id)
+    return kept.withColumn(f"{p}row", F.row_number().over(one)).where(f"{p}row = 1").select(*docs.columns)
