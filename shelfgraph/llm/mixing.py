@@ -4,7 +4,8 @@ A source's target of words is its weighted share of the total, cut at MOST_COPIE
 going to the others by weight until none is above. Each document of a source first gets floor(target / size)
 certain copies. The rest of the target, a share f of the source, is a Pareto sample (Rosen, 1997): documents
 are ranked by random odds over inclusion odds, (u / (1 - u)) / (f / (1 - f)), and taken from the least on until
-their words fill the rest. One more document per source, the one whose size is nearest to the gap that is
+their words fill the rest; documents behind the first that doesn't fit fill what is left in the same way, ROUNDS
+times in all. One more document per source, the one whose size is nearest to the gap that is
 left, closes it if that comes nearer to the target.
 
 The cut in the ranking is found by sums over 4,096 intervals of the rank, then over 4,096 intervals of the one
@@ -20,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfgraph.llm.shared import fresh
 from shelfgraph.session import written
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 CELLS = 4096
+ROUNDS = 3
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -60,40 +63,57 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES, seed
     placed = rows.join(targets, same).withColumn("rank", rank / (1 + rank)).drop("s")
     placed = placed.withColumn("cell", F.least(F.floor(F.col("rank") * CELLS), F.lit(CELLS - 1)))
     placed = placed.withColumn("fine", F.least(F.floor((F.col("rank") * CELLS - F.col("cell")) * CELLS), F.lit(CELLS - 1)))
+    placed = placed.withColumns({"gap": F.col("rest").cast("double"), "taken": F.lit(False), "pool": F.col("rest") > 0})
     placed = written(placed, "mix-ranks")
+    for _ in range(ROUNDS):
+        placed = _fill(placed)
+    nearest = placed.where("NOT taken AND gap > 0 AND abs(size - gap) < gap").groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "doc_id", "tie")).alias("x"))
+    nearest = nearest.select(F.col("source").alias("s"), F.struct("x.rank", "x.doc_id", "x.tie").alias("closing"))
+    done = placed.join(nearest, same, "left")
+    extra = F.col("taken") | F.coalesce(F.struct("rank", "doc_id", "tie") == F.col("closing"), F.lit(False))
+    return done.select("doc_id", "tie", "source", "size", "source_size", "target", (F.col("whole") + extra.cast("int")).cast("int").alias("copies"))
+
+
+def _fill(placed: DataFrame) -> DataFrame:
+    """placed with each source's pool taken in rank order up to its gap, the gap that is left, and the pool of those behind that still fit."""
+    same = F.col("source").eqNullSafe(F.col("s"))
+    pool = placed.where("pool")
 
     def cut(frame: DataFrame, by: str, gone: str) -> DataFrame:
-        """s, by and words before it, of the first interval at whose end the words pass the rest."""
-        sums = frame.groupBy("source", by).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"), F.first(gone).alias("gone") if gone else F.lit(0).alias("gone"))
+        """s, by and words before it, of the first interval at whose end the words pass the gap."""
+        sums = frame.groupBy("source", by).agg(F.sum("size").alias("n"), F.first("gap").alias("gap"), F.first(gone).alias("gone") if gone else F.lit(0).alias("gone"))
         upto = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-        past = sums.withColumn("end", F.col("gone") + F.sum("n").over(upto)).where("end > rest")
+        past = sums.withColumn("end", F.col("gone") + F.sum("n").over(upto)).where("end > gap")
         return past.groupBy("source").agg(F.min(F.struct(F.col(by), (F.col("end") - F.col("n")).alias("gone"))).alias("x")).select(F.col("source").alias("s"), F.col("x")[by].alias(f"{by}_cut"), F.col("x.gone").alias(f"{by}_gone"))
 
-    coarse = written(cut(placed, "cell", ""), "mix-cut")
-    fine = written(cut(placed.join(coarse, same & (F.col("cell") == F.col("cell_cut"))), "fine", "cell_gone"), "mix-cut")
-    last = placed.join(coarse, same & (F.col("cell") == F.col("cell_cut"))).drop("s").join(fine, same & (F.col("fine") == F.col("fine_cut")))
+    coarse = written(cut(pool, "cell", ""), "mix-cut")
+    inside = pool.join(coarse, same & (F.col("cell") == F.col("cell_cut"))).drop("s")
+    fine = written(cut(inside, "fine", "cell_gone"), "mix-cut")
+    last = inside.join(fine, same & (F.col("fine") == F.col("fine_cut")))
     upto = Window.partitionBy("source").orderBy("rank", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    ends = last.withColumn("end", F.col("fine_gone") + F.sum("size").over(upto)).where("end > rest")
-    # the first row that does not fit, and the words before it
+    ends = last.withColumn("end", F.col("fine_gone") + F.sum("size").over(upto)).where("end > gap")
+    # the first row that does not fit, and the words before it; without one all of the pool fits
     stop = ends.groupBy("source").agg(F.min(F.struct("rank", "doc_id", "tie", (F.col("end") - F.col("size")).alias("filled"))).alias("x"))
-    stop = stop.select(F.col("source").alias("s"), F.struct("x.rank", "x.doc_id", "x.tie").alias("stop"), F.col("x.filled").alias("filled"))
-    chosen = placed.join(stop, same, "left").drop("s").withColumn("taken", F.coalesce(F.struct("rank", "doc_id", "tie") < F.col("stop"), F.lit(False)) & (F.col("rest") > 0))
-    chosen = chosen.withColumn("gap", F.col("rest") - F.col("filled"))
-    nearest = chosen.where("NOT taken AND gap > 0 AND abs(size - gap) < gap").groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "doc_id", "tie")).alias("x"))
-    nearest = nearest.select(F.col("source").alias("s"), F.struct("x.rank", "x.doc_id", "x.tie").alias("closing"))
-    done = chosen.join(nearest, same, "left")
-    extra = F.col("taken") | F.coalesce(F.struct("rank", "doc_id", "tie") == F.col("closing"), F.lit(False))
-    return done.select("doc_id", "tie", "source", "size", "source_size", "target", (F.col("whole") + extra.cast("int")).cast("int").alias("copies"))
+    stop = stop.select(F.col("source").alias("source_"), F.struct("x.rank", "x.doc_id", "x.tie").alias("stop"), F.col("x.filled").alias("filled"))
+    total = pool.groupBy("source").agg(F.sum("size").alias("all")).withColumnRenamed("source", "s")
+    state = total.join(stop, F.col("s").eqNullSafe(F.col("source_")), "left").select("s", "stop", F.coalesce("filled", "all").alias("filled"))
+    key = F.struct("rank", "doc_id", "tie")
+    out = placed.join(state, same, "left")
+    out = out.withColumn("taken", F.col("taken") | (F.col("pool") & F.coalesce(key < F.col("stop"), F.lit(True))))
+    out = out.withColumn("gap", F.col("gap") - F.coalesce("filled", F.lit(0)))
+    out = out.withColumn("pool", F.col("pool") & ~F.col("taken") & (F.col("size") <= F.col("gap")) & F.coalesce(key > F.col("stop"), F.lit(False)))
+    return written(out.select(*placed.columns), "mix-ranks")
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """docs' rows, each as often as the mix takes it. Rows without words stay once: they weigh nothing."""
+    p = fresh(docs, "__mx_")
     copies = mix(docs, doc_id=doc_id, text=text, source=source, **options)
-    copies = copies.groupBy("doc_id", "tie").agg(F.sum("copies").alias("__mx_copies"), F.count("*").alias("__mx_rows"), F.max("size").alias("__mx_size")).withColumnsRenamed({"doc_id": "__mx_id", "tie": "__mx_tie"})
-    keyed = docs.withColumn("__mx_key", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("__mx_source", F.col(source))
-    one = Window.partitionBy(doc_id, "__mx_key").orderBy("__mx_source")
-    joined = keyed.join(copies, keyed[doc_id].cast("long").eqNullSafe(F.col("__mx_id")) & (F.col("__mx_key") == F.col("__mx_tie")))
-    joined = joined.withColumn("__mx_row", F.row_number().over(one))
+    copies = copies.groupBy("doc_id", "tie").agg(F.sum("copies").alias(f"{p}copies"), F.count("*").alias(f"{p}rows"), F.max("size").alias(f"{p}size")).withColumnsRenamed({"doc_id": f"{p}id", "tie": f"{p}tie"})
+    keyed = docs.withColumn(f"{p}key", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(f"{p}source", F.col(source))
+    one = Window.partitionBy(doc_id, f"{p}key").orderBy(f"{p}source")
+    joined = keyed.join(copies, keyed[doc_id].cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}key") == F.col(f"{p}tie")))
+    joined = joined.withColumn(f"{p}row", F.row_number().over(one))
     # repeated rows share their copies out evenly
-    own = F.expr("CASE WHEN __mx_size = 0 THEN 1 ELSE CAST(floor((__mx_copies + __mx_rows - __mx_row) / __mx_rows) AS INT) END")
-    return joined.withColumn("__mx_n", own).where("__mx_n > 0").withColumn("__mx_each", F.explode(F.expr("sequence(1, __mx_n)"))).select(*docs.columns)
+    own = F.expr(f"CASE WHEN {p}size = 0 THEN 1 ELSE CAST(floor(({p}copies + {p}rows - {p}row) / {p}rows) AS INT) END")
+    return joined.withColumn(f"{p}n", own).where(f"{p}n > 0").withColumn(f"{p}each", F.explode(F.expr(f"sequence(1, {p}n)"))).select(*docs.columns)
