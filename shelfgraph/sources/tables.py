@@ -74,7 +74,7 @@ def write_tables(frames: dict[str, DataFrame], folder: str) -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """[SNK3, SNK8, SNK21] CSV with a header, arrays and structs as JSON."""
     nested = (T.ArrayType, T.MapType, T.StructType)
-    df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, nested)}).write.mode("overwrite").option("header", True).csv(path)
+    df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, nested)}).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_document(df: DataFrame, path: str) -> None:
