@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,6 @@ END_ID = 0
 FORMAT = "doc_id long, n_tokens long, before long, ids array<int>"
 #: How byte-level files split text.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-BLANK = regex.compile(r"\s")
 MEMO_PIECES = 500_000
 
 
@@ -51,22 +51,34 @@ class ByteEncoder:
         self.special = {s: np.array([self.library.token_to_id(s)], "<u4").tobytes() for s in special}
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
+        self.space = self.alphabet[32]
         self.memo: dict = {}
+        self.words: dict[str, bytes] = {}
 
     def _pretoken(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
-        return np.array([t.id for t in tokens], "<u4").tobytes()
+        if word.isascii() and word.isprintable():
+            plain = word.replace(" ", self.space)
+        else:
+            plain = word.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
 
     def _learn(self, units: set) -> None:
         """A string follows a space; a tuple holds text as it stands."""
-        words: dict[str, bytes] = {}
+        words, memo, pretoken = self.words, self.memo, self._pretoken
+        if len(words) > self.memo_pieces // 2:
+            words.clear()
         for u in units:
+            if isinstance(u, str) and u.isalpha():
+                split = [" " + u]
+            else:
+                split = BYTE_LEVEL.findall(u[0] if isinstance(u, tuple) else " " + u)
             out = []
-            for w in BYTE_LEVEL.findall(u[0] if isinstance(u, tuple) else " " + u):
-                if w not in words:
-                    words[w] = self._pretoken(w)
-                out.append(words[w])
-            self.memo[u] = out[0] if len(out) == 1 else b"".join(out)
+            for w in split:
+                raw = words.get(w)
+                if raw is None:
+                    raw = words[w] = pretoken(w)
+                out.append(raw)
+            memo[u] = out[0] if len(out) == 1 else b"".join(out)
 
     def _pieces(self, text: str) -> list:
         out: list = []
@@ -87,7 +99,7 @@ class ByteEncoder:
         if len(self.memo) > self.memo_pieces:
             self.memo = {}
         new = set().union(*pieces) - self.memo.keys()
-        loose = {u for u in new if isinstance(u, str) and (not u or BLANK.match(u))}
+        loose = {u for u in new if isinstance(u, str) and (not u or u[0].isspace())}
         if loose:  # a space before white space or the end doesn't begin a word
             for i, ps in enumerate(pieces):
                 if not loose.isdisjoint(ps):
