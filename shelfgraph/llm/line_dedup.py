@@ -7,10 +7,12 @@ if its set occurred before, or if an earlier set is similar (its removal doesn't
 
 Rarity comes from counts of token hashes in 2**SKETCH_BITS cells over all lines, summed in blocks and
 broadcast as one byte a cell (16 MB, whatever the corpus). Cells only order tokens and drop those that occur
-once, which nothing can match; a full sketch costs speed, not results. Sets of lines that share an indexed
-token are fetched in a further pass through a Bloom filter of fixed size. Every set is first compared with
-the earliest one under each of its tokens, which settles groups of near copies with a row or two a member;
-only sets still open are joined with all earlier ones that pass the filters, and only pairs are made that do.
+once, which nothing can match; a full sketch costs speed, not results. Besides length and position, pairs pass
+a parity filter: 64 parities of a set's tokens differ in at most as many bits as the sets differ in tokens.
+Every set is first compared with the earliest one under each of its tokens, which settles groups of near
+copies with a row or two a member; only sets still open are joined with all earlier ones, and only pairs that
+pass the filters are made. Tokens of pairs are fetched in a further pass over the texts through a Bloom filter
+of fixed size, and Jaccard is counted on 64-bit hashes.
 
 Defined results: lines without words are kept; null texts stay null; a text all of whose lines go becomes
 empty; of repeated rows (same id and text) one keeps its lines; long texts are treated whole; an empty table
@@ -24,7 +26,6 @@ import gc
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,48 +39,97 @@ BLOCK = 4096
 SEEN_SETS = 500_000
 
 
-def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, the line of each, and the document and number of each line (lines without words have none)."""
-    words: list = []
-    sizes, doc, number = [], [], []
-    for d, t in enumerate(texts):
-        for k, line in enumerate((t or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
-            w = line.split()
-            if w:
-                words += w
-                sizes.append(len(w))
-                doc.append(d)
-                number.append(k)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    return h, np.repeat(np.arange(len(sizes)), sizes), np.array(doc, np.int64), np.array(number, np.int32)
+_BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _sets(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (line, hash), sorted."""
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    return h[new], line[new]
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    out = np.ones(max(1, n), np.uint64)
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
+        done += step
+    return out
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-def _set_ids(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two order-free 64-bit sums that name a set."""
-    return np.add.reduceat(_mix(h), start).view(np.int64), np.add.reduceat(_mix(h ^ np.uint64(0xD6E8FEB86659FD93)), start).view(np.int64)
+    """Finaliser of a 64-bit hash (Stafford's mix 13)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of a buffer (ASCII lower case, ASCII white space) and where it starts.
+
+    Words are hashed without being cut out: differences of the running sum of byte * base ** place, moved to
+    place 0 by base ** -start, mixed with the length.
+    """
+    blank = _BLANK[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+    start, end = edge[0::2], edge[1::2]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((_LOWER[raw] + np.uint64(1)) * _powers(_BASE, len(raw)), out=total[1:])
+    h = (total[end] - total[start]) * _powers(_INVERSE, len(raw) + 1)[start]
+    return _mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
+
+
+def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the texts with a line feed behind each, and where each ends."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+    return np.frombuffer(b"\n".join(raw) + b"\n", np.uint8), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+
+
+class _Sets:
+    """Token sets of the lines of some texts, in line order: hashes h, start and size of each set, its document and line number."""
+
+    def __init__(self, texts: pa.Array, codes: np.ndarray | None, bits: int):
+        raw, ends = _buffer(texts)
+        h, start = _hashes(raw)
+        feeds = np.flatnonzero(raw == 10)
+        line = np.searchsorted(feeds, start)
+        code = codes[(h >> np.uint64(64 - bits)).astype(np.int64)] if codes is not None else np.zeros(len(h), np.uint8)
+        # by line, rarity, hash; the last 32 bits of the hash only keep equal tokens together
+        new = np.diff(line, prepend=-1) != 0
+        rank = np.cumsum(new) - 1
+        order = np.lexsort((h, (rank.astype(np.uint64) << np.uint64(8)) | code)) if len(h) else np.zeros(0, np.int64)
+        h, rank, line, code = h[order], rank[order], line[order], code[order]
+        keep = np.ones(len(h), bool)
+        keep[1:] = (h[1:] != h[:-1]) | (rank[1:] != rank[:-1])
+        self.h, self.code, line, rank = h[keep], code[keep], line[keep], rank[keep]
+        self.start = np.flatnonzero(np.diff(rank, prepend=-1))
+        self.n = np.diff(np.append(self.start, len(self.h)))
+        at = line[self.start]
+        self.doc = np.searchsorted(ends, feeds[at], side="right")
+        self.number = (at - np.concatenate([[0], np.searchsorted(feeds, ends - 1, side="right")])[self.doc]).astype(np.int32)
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two order-free 64-bit sums that name each set."""
+        if not len(self.start):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.add.reduceat(_mix(self.h), self.start).view(np.int64), np.add.reduceat(_mix(self.h ^ np.uint64(0xA0761D6478BD642F)), self.start).view(np.int64)
+
+    def parities(self) -> np.ndarray:
+        """64 bits a set: each the parity of the tokens that fall on it. Two sets' parities differ in at most as many bits as the sets in tokens."""
+        if not len(self.start):
+            return np.zeros(0, np.int64)
+        bit = np.uint64(1) << (self.h >> np.uint64(7) & np.uint64(63))
+        return np.bitwise_xor.reduceat(bit, self.start).view(np.int64)
 
 
 def _count_cells(bits: int):
     def run(batches):
         total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for part in sliced(batch):
-                h, line, _, _ = _words(part.column(0).to_pylist())
-                cell, n = np.unique((_sets(h, line)[0] >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            for part in sliced(batch, 8 << 20):
+                h, _ = _hashes(_buffer(part.column(0))[0])
+                cell, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
                 total[cell] += n.astype(np.uint32)
         for block in range(max(1, (1 << bits) // BLOCK)):
             part = total[block * BLOCK : (block + 1) * BLOCK]
@@ -102,7 +152,7 @@ def _add_cells(key, rows):
 
 
 def token_sketch(docs: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -> np.ndarray:
-    """One byte a cell: in how many lines tokens of the cell occur (exact below 128, then by logarithm)."""
+    """One byte a cell: how often tokens of the cell occur (exact below 128, then by logarithm)."""
     cells = docs.select(text).mapInArrow(_count_cells(bits), "block int, cells binary")
     codes = np.zeros(1 << bits, np.uint8)
     for row in cells.groupBy("block").applyInPandas(_add_cells, "block int, codes binary").collect():  # 2**bits bytes in all
@@ -111,38 +161,31 @@ def token_sketch(docs: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -
     return codes
 
 
-LINES = "doc_id long, h long, line int, g1 long, g2 long, n int, prefix array<struct<t: long, p: int>>"
+LINES = "doc_id long, h long, line int, g1 long, g2 long, n int, parity long, prefix array<long>"
 
 
 def _index(sketch, bits: int):
     def make():
         codes, seen = sketch.value, set()
-        kind = pa.list_(pa.struct([("t", pa.int64()), ("p", pa.int32())]))
 
         def each(batch):
-            h, line, doc, number = _words(batch.column(2).to_pylist())
-            if not len(h):
-                return [[]] * 7
-            h, line = _sets(h, line)
-            start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            n = np.diff(np.append(start, len(h)))
-            g1, g2 = _set_ids(h, start)
-            code = codes[(h >> np.uint64(64 - bits)).astype(np.int64)]
-            order = np.lexsort((h, code, line))
-            place = np.arange(len(h)) - np.repeat(start, n)
-            inside = (place < np.repeat(n - -(-NUM * n // DEN) + 1, n)) & (code[order] > 1)
+            s = _Sets(batch.column(2), codes, bits)
+            if not len(s.start):
+                return [[]] * 8
+            g1, g2 = s.ids()
             fresh = np.fromiter((x not in seen and not seen.add(x) for x in zip(g1.tolist(), g2.tolist(), strict=True)), bool, len(g1))
             if len(seen) > SEEN_SETS:
                 seen.clear()
-            inside &= np.repeat(fresh, n)
-            counts = np.add.reduceat(inside, start, dtype=np.int32)
-            items = pa.StructArray.from_arrays([pa.array(h[order][inside].view(np.int64)), pa.array(place[inside].astype(np.int32))], names=["t", "p"])
+            place = np.arange(len(s.h)) - np.repeat(s.start, s.n)
+            inside = (place < np.repeat(s.n - -(-NUM * s.n // DEN) + 1, s.n)) & (s.code > 1) & np.repeat(fresh, s.n)
+            counts = np.add.reduceat(inside, s.start, dtype=np.int64)
+            # the top 40 bits name the token to the join, which verification makes exact; the rest is the place
+            items = ((s.h[inside] >> np.uint64(24) << np.uint64(24)) | np.minimum(place[inside], (1 << 24) - 1).astype(np.uint64)).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             # a set already met by this task has no prefix of its own
-            mask = pa.array(np.append(~fresh, False))
-            prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=mask.to_numpy(zero_copy_only=False)), items).cast(kind)
-            at = pa.array(doc)
-            return [batch.column(0).take(at), batch.column(1).take(at), pa.array(number), pa.array(g1), pa.array(g2), pa.array(n.astype(np.int32)), prefix]
+            prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(~fresh, False)), pa.array(items))
+            at = pa.array(s.doc)
+            return [batch.column(0).take(at), batch.column(1).take(at), pa.array(s.number), pa.array(g1), pa.array(g2), pa.array(s.n.astype(np.int32)), pa.array(s.parities()), prefix]
 
         return each
 
@@ -154,30 +197,35 @@ def _bloom_places(g1: np.ndarray, g2: np.ndarray, bits: int) -> list[np.ndarray]
     return [((a + np.uint64(k) * b) >> np.uint64(64 - bits)).astype(np.int64) for k in (1, 2, 3)]
 
 
+def _places(bits: int):
+    def make():
+        def each(batch):
+            return [np.concatenate(_bloom_places(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits))]
+
+        return each
+
+    return make
+
+
 def _fetch(bloom, bits: int):
     def make():
         held, seen = bloom.value, set()
 
         def each(batch):
-            h, line, _, _ = _words(batch.column(0).to_pylist())
-            if not len(h):
-                return [[]] * 3
-            h, line = _sets(h, line)
-            start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            n = np.diff(np.append(start, len(h)))
-            g1, g2 = _set_ids(h, start)
+            s = _Sets(batch.column(0), None, bits)
+            g1, g2 = s.ids()
             hit = np.all([held[p] for p in _bloom_places(g1, g2, bits)], axis=0)
-            hit &= np.fromiter((x not in seen for x in zip(g1.tolist(), g2.tolist(), strict=True)), bool, len(g1))
             first = np.zeros(len(g1), bool)
-            pairs = np.stack([g1[hit], g2[hit]], axis=1)
-            if len(pairs):
-                first[np.flatnonzero(hit)[np.unique(pairs, axis=0, return_index=True)[1]]] = True
-            seen.update(zip(g1[first].tolist(), g2[first].tolist(), strict=True))
+            for i in np.flatnonzero(hit).tolist():
+                x = (int(g1[i]), int(g2[i]))
+                if x not in seen:
+                    seen.add(x)
+                    first[i] = True
             if len(seen) > SEEN_SETS:
                 seen.clear()
-            keep = np.repeat(first, n)
-            offsets = np.concatenate([[0], np.cumsum(n[first])]).astype(np.int32)
-            return [pa.array(g1[first]), pa.array(g2[first]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[keep].view(np.int64)))]
+            offsets = np.concatenate([[0], np.cumsum(s.n[first])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.h[np.repeat(first, s.n)].view(np.int64)))
+            return [pa.array(g1[first]), pa.array(g2[first]), tokens]
 
         return each
 
@@ -190,64 +238,63 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _tokens_of(own: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
+    """(g1, g2, tokens) of the sets in keys, fetched in a pass over the texts through a Bloom filter of 2**bits bits."""
+    spark = own.sparkSession
+    held = np.zeros(1 << bits, bool)
+    words = map_batches(keys, _places(bits), "b long").groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("m"))
+    found = words.select(F.shiftright("w", 10).alias("block"), "w", "m").groupBy("block").agg(F.collect_list(F.struct("w", "m")).alias("x"))
+    for row in found.toLocalIterator():  # 2**bits / 8 bytes at most
+        for w, m in row["x"]:
+            held[64 * w : 64 * w + 64] = np.unpackbits(np.array([m], np.int64).view(np.uint8), bitorder="little").astype(bool)
+    tokens = map_batches(own.select("text"), _fetch(spark.sparkContext.broadcast(held), bits), "g1 long, g2 long, tokens array<long>")
+    return tokens.groupBy("g1", "g2").agg(F.first("tokens").alias("tokens"))
+
+
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """(doc_id, h, line): lines with words that stay; h is the hash of the text."""
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
     sketch = spark.sparkContext.broadcast(token_sketch(own, "text", sketch_bits))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "line")).alias("first")
-    sets = map_batches(own, _index(sketch, sketch_bits), LINES).groupBy("g1", "g2").agg(first, F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
-    sets = written(sets, "line-sets")
+    sets = map_batches(own, _index(sketch, sketch_bits), LINES).groupBy("g1", "g2").agg(first, F.max("n").alias("n"), F.max("parity").alias("parity"), F.first("prefix", ignorenulls=True).alias("prefix"))
+    # ids in the order of first occurrence, by range partitions
+    ordered = sets.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
+    sets = written(ordered, "line-sets")
+    del ordered
     _release(spark)
 
-    entries = sets.select("g1", "g2", "n", "first", F.explode("prefix").alias("x")).select("g1", "g2", "n", "first", "x.t", "x.p")
-    heads = entries.groupBy("t").agg(F.count("*").alias("c"), F.min(F.struct("first", "g1", "g2", "n", "p")).alias("head")).where("c > 1").drop("c")
-    shared = written(entries.join(heads, "t"), "line-entries")
-    _release(spark)
+    item = F.explode("prefix").alias("x")
+    entries = sets.select("id", "n", "parity", item).select(F.shiftright("x", 24).alias("t"), "id", F.expr("shiftleft(CAST(n AS BIGINT), 24) | (x & 16777215)").alias("np"), "parity")
 
-    # sets under a token of at least two sets, as a Bloom filter of fixed size
-    candidates = shared.select("g1", "g2").distinct()
-    bits = np.zeros(1 << bloom_bits, bool)
-    words = map_batches(candidates, _places(bloom_bits), "b long").groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("m"))
-    for row in words.toLocalIterator():  # 2**bloom_bits / 64 rows at most
-        bits[64 * row["w"] : 64 * row["w"] + 64] = np.unpackbits(np.array([row["m"]], np.int64).view(np.uint8), bitorder="little").astype(bool)
-    tokens = map_batches(own.select("text"), _fetch(spark.sparkContext.broadcast(bits), bloom_bits), "g1 long, g2 long, tokens array<long>")
-    tokens = written(tokens.groupBy("g1", "g2").agg(F.first("tokens").alias("tokens")), "line-tokens")
-    _release(spark)
+    def passes(x: str, y: str) -> str:
+        """Length, positional and parity filters of two entries; o is the least overlap that a pair needs."""
+        n, m, p, q = f"shiftright({x}.np, 24)", f"shiftright({y}.np, 24)", f"({x}.np & 16777215)", f"({y}.np & 16777215)"
+        need = f"{NUM} * ({n} + {m})"
+        return f"{DEN} * {n} >= {NUM} * {m} AND {DEN} * {m} >= {NUM} * {n} AND {NUM + DEN} * least({n} - {p}, {m} - {q}) >= {need} AND {NUM + DEN} * ({n} + {m} - bit_count({x}.parity ^ {y}.parity)) >= 2 * {need}"
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """(g1, g2) of later sets whose pair (g1, g2, o1, o2) holds."""
-        other = tokens.select(F.col("g1").alias("o1"), F.col("g2").alias("o2"), F.col("tokens").alias("other"))
-        both = pairs.join(tokens, ["g1", "g2"]).join(other, ["o1", "o2"]).withColumn("i", F.size(F.array_intersect("tokens", "other")))
-        return both.where(f"{DEN} * i >= {NUM} * (size(tokens) + size(other) - i)").select("g1", "g2").distinct()
-
-    def passes(n: str, p: str, m: str, q: str) -> str:
-        """Length and positional filters: |x & y| >= NUM / (NUM + DEN) * (n + m)."""
-        return f"{DEN} * {n} >= {NUM} * {m} AND {DEN} * {m} >= {NUM} * {n} AND {NUM + DEN} * least({n} - {p}, {m} - {q}) >= {NUM} * ({n} + {m})"
-
-    star = shared.where("first > head.first").where(passes("n", "p", "head.n", "head.p")).select("g1", "g2", F.col("head.g1").alias("o1"), F.col("head.g2").alias("o2")).distinct()
-    settled = written(similar(star), "line-settled")
+        """Ids of sets whose pair (id, o) with an earlier one holds."""
+        named = sets.select("id", "g1", "g2")
+        ends = pairs.select(F.explode(F.array("id", "o")).alias("id")).distinct().join(named, "id")
+        tokens = _tokens_of(own, ends.select("g1", "g2"), bloom_bits)
+        tokens = written(ends.join(tokens, ["g1", "g2"]).select("id", "tokens"), "line-tokens")
+        other = tokens.select(F.col("id").alias("o"), F.col("tokens").alias("other"))
+        both = pairs.join(tokens, "id").join(other, "o").withColumn("i", F.size(F.array_intersect("tokens", "other")))
+        return written(both.where(f"{DEN} * i >= {NUM} * (size(tokens) + size(other) - i)").select("id").distinct(), "line-settled")
+
+    heads = entries.groupBy("t").agg(F.min("id").alias("id"), F.min_by("np", "id").alias("np"), F.min_by("parity", "id").alias("parity"), F.count("*").alias("c")).where("c > 1").drop("c")
+    x, y = entries.alias("x"), heads.alias("y")
+    star = x.join(y, F.expr(f"x.t = y.t AND x.id > y.id AND {passes('x', 'y')}")).select("x.id", F.col("y.id").alias("o")).distinct()
+    settled = similar(written(star, "line-pairs"))
     _release(spark)
-    open_ = shared.join(settled, ["g1", "g2"], "left_anti").select("g1", "g2", "n", "first", "t", "p", F.col("head.g1").alias("h1"), F.col("head.g2").alias("h2"))
-    earlier = shared.select("t", F.col("g1").alias("o1"), F.col("g2").alias("o2"), F.col("n").alias("m"), F.col("first").alias("before"), F.col("p").alias("q"))
-    rest = open_.join(earlier, (open_["t"] == earlier["t"]) & F.expr("first > before AND NOT (o1 = h1 AND o2 = h2) AND " + passes("n", "p", "m", "q")))
-    late = written(similar(rest.select("g1", "g2", "o1", "o2").distinct()), "line-settled")
-    gone = settled.unionByName(late)
-    kept = sets.join(gone, ["g1", "g2"], "left_anti").select("first.doc_id", "first.h", "first.line")
-    kept = written(kept, "line-kept")
+    # sets that no head settles meet all earlier ones under their tokens
+    x, y = entries.join(settled, "id", "left_anti").alias("x"), entries.alias("y")
+    rest = x.join(y, F.expr(f"x.t = y.t AND x.id > y.id AND {passes('x', 'y')}")).select("x.id", F.col("y.id").alias("o")).distinct()
+    late = similar(written(rest, "line-pairs"))
     _release(spark)
-    return kept
-
-
-def _places(bits: int):
-    def make():
-        def each(batch):
-            g1, g2 = (batch.column(i).to_numpy() for i in range(2))
-            return [np.concatenate(_bloom_places(g1, g2, bits))]
-
-        return each
-
-    return make
+    gone = settled.unionByName(late)
+    return sets.join(gone, "id", "left_anti").select("first.doc_id", "first.h", "first.line")
 
 
 def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
