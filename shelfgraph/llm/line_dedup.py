@@ -29,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfgraph.llm.shared import map_batches, sliced
+from shelfgraph.llm.shared import fresh, map_batches, sliced
 from shelfgraph.session import written
 
 NUM, DEN = 4, 5  # Jaccard >= NUM / DEN
 SKETCH_BITS = 24
 BLOOM_BITS = 25
-BLOCK = 4096
-SEEN_SETS = 500_000
+BLOCK = 1 << 16
+SEEN_SETS = 300_000
+SLICE = 4 << 20  # bytes of text at once: hashing holds some sixty times as much
 
 
 _BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 1
@@ -47,15 +48,22 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; the longest row asked for stays."""
+    held = _known.get(base)
+    if held is not None and len(held) >= n:
+        return held[:n]
     out = np.ones(max(1, n), np.uint64)
     done = 1
     while done < n:
         step = min(done, n - done)
         out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
         done += step
-    return out
+    _known[base] = out
+    return out[:n]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -127,7 +135,7 @@ def _count_cells(bits: int):
     def run(batches):
         total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for part in sliced(batch, 8 << 20):
+            for part in sliced(batch, SLICE):
                 h, _ = _hashes(_buffer(part.column(0))[0])
                 cell, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
                 total[cell] += n.astype(np.uint32)
@@ -244,10 +252,10 @@ def _tokens_of(own: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
     held = np.zeros(1 << bits, bool)
     words = map_batches(keys, _places(bits), "b long").groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("m"))
     found = words.select(F.shiftright("w", 10).alias("block"), "w", "m").groupBy("block").agg(F.collect_list(F.struct("w", "m")).alias("x"))
-    for row in found.toLocalIterator():  # 2**bits / 8 bytes at most
+    for row in found.collect():  # 2**bits / 8 bytes at most
         for w, m in row["x"]:
             held[64 * w : 64 * w + 64] = np.unpackbits(np.array([m], np.int64).view(np.uint8), bitorder="little").astype(bool)
-    tokens = map_batches(own.select("text"), _fetch(spark.sparkContext.broadcast(held), bits), "g1 long, g2 long, tokens array<long>")
+    tokens = map_batches(own.select("text"), _fetch(spark.sparkContext.broadcast(held), bits), "g1 long, g2 long, tokens array<long>", SLICE)
     return tokens.groupBy("g1", "g2").agg(F.first("tokens").alias("tokens"))
 
 
@@ -257,7 +265,7 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sket
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
     sketch = spark.sparkContext.broadcast(token_sketch(own, "text", sketch_bits))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "line")).alias("first")
-    sets = map_batches(own, _index(sketch, sketch_bits), LINES).groupBy("g1", "g2").agg(first, F.max("n").alias("n"), F.max("parity").alias("parity"), F.first("prefix", ignorenulls=True).alias("prefix"))
+    sets = map_batches(own, _index(sketch, sketch_bits), LINES, SLICE).groupBy("g1", "g2").agg(first, F.max("n").alias("n"), F.max("parity").alias("parity"), F.first("prefix", ignorenulls=True).alias("prefix"))
     # ids in the order of first occurrence, by range partitions
     ordered = sets.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
     sets = written(ordered, "line-sets")
@@ -309,12 +317,13 @@ def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with later matches of lines removed from text, and n_chars, where it exists, set anew."""
-    lines = kept_lines(docs, doc_id, text).groupBy("doc_id", "h").agg(F.collect_list("line").alias("__ld_lines")).withColumnsRenamed({"doc_id": "__ld_id", "h": "__ld_h"})
-    keyed = docs.withColumn("__ld_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(lines, keyed[doc_id].cast("long").eqNullSafe(F.col("__ld_id")) & (F.col("__ld_key") == F.col("__ld_h")), "left")
-    row = F.row_number().over(Window.partitionBy(doc_id, "__ld_key").orderBy("__ld_h"))
-    joined = joined.withColumn("__ld_stay", F.when(row == 1, F.col("__ld_lines")))
-    out = joined.withColumn(text, F.pandas_udf(_without, "string")(F.col(text), F.col("__ld_stay")))
+    p = fresh(docs, "__ld_")
+    lines = kept_lines(docs, doc_id, text).groupBy("doc_id", "h").agg(F.collect_list("line").alias(f"{p}lines")).withColumnsRenamed({"doc_id": f"{p}id", "h": f"{p}h"})
+    keyed = docs.withColumn(f"{p}key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = keyed.join(lines, keyed[doc_id].cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}key") == F.col(f"{p}h")), "left")
+    row = F.row_number().over(Window.partitionBy(doc_id, f"{p}key").orderBy(f"{p}h"))
+    joined = joined.withColumn(f"{p}stay", F.when(row == 1, F.col(f"{p}lines")))
+    out = joined.withColumn(text, F.pandas_udf(_without, "string")(F.col(text), F.col(f"{p}stay")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
