@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, decoded."""
     own = docs.select("doc_id", "lang", "source", "text")
     schema = "doc_id long, lang string, source string, ids array<int>, decoded string"
-    encoded = map_batches(own, bpe.encoded_rows(tokenizer_path("word_bpe_49k.json")), schema)
+    encoded = map_batches(own, bpe.encoded_rows(tokenizer_path("word_bpe_49k.json")), schema, 4 << 20)
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -238,9 +238,9 @@ class Codec:
         return " ".join(self.table.strings[int(i)] for i in ids if int(i) in self.table.strings)
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+@lru_cache(maxsize=1)
+def codec(path: str, memo_words: int = MEMO_WORDS) -> Codec:
+    return Codec(path, memo_words)
 
 
 def digests(path: str):
@@ -259,11 +259,11 @@ def digests(path: str):
     return make
 
 
-def encoded_rows(path: str):
-    """For map_batches: (..., text) to the columns before the text, ids and decoded text."""
+def encoded_rows(path: str, memo_words: int = 100_000):
+    """For map_batches: (..., text) to the columns before the text, ids and decoded text. The memo is smaller than where digests alone are held."""
 
     def make():
-        own = codec(path)
+        own = codec(path, memo_words)
 
         def each(batch):
             k = batch.num_columns - 1
