@@ -173,7 +173,10 @@ def clean_authors(a: C) -> Column:
 def unique_ignoring_case(a: C) -> Column:
     """[SCL-A10, A11, A13] trimmed items, each once whatever its case; the first casing stays."""
     items = F.filter(F.transform(_c(a), lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
-    return F.aggregate(items, F.array().cast("array<string>"), lambda s, x: F.when(F.exists(s, lambda y: F.lower(y) == F.lower(x)), s).otherwise(F.array_append(s, x)))
+    # sorted by their lower case, equal items are neighbours: n log n; an array of one makes the sorted items a variable, computed once
+    placed = F.array_sort(F.transform(items, lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("i"), v.alias("v"))))
+    firsts = F.transform(F.array(placed), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"])))[0]
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))), lambda x: x["v"])
 
 
 def json_values(doc: C, path: str) -> Column:

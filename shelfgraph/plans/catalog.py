@@ -274,9 +274,9 @@ def durations(spark, d):
 SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY pos) AS words FROM (SELECT doc_id, arg_min(w, pos) AS w, min(pos) AS pos FROM
   (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, list_filter(string_split(text[1:400], ' '), lambda x: x <> '') AS ws FROM documents WHERE NOT contains(text[1:400], chr(10)))) GROUP BY doc_id, lower(w)) GROUP BY doc_id""")
 def unique_ignoring_case(spark, d):
-    head = F.substring("text", 1, 400)
-    docs = table(spark, d, "documents").where(~head.contains("\n")).select("doc_id", S.unique_ignoring_case(F.split(head, " ")).alias("w"))
-    return docs.select("doc_id", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("words")).where("n > 0")
+    # whole texts of all documents; the twin above reads a prefix of some
+    docs = table(spark, d, "documents").select("doc_id", S.unique_ignoring_case(F.split(F.coalesce("text", F.lit("")), " ")).alias("w"))
+    return docs.select("doc_id", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("words"))
 
 
 # ---- dedupes, merges, maps ---------------------------------------------------------------------------------
