@@ -6,7 +6,8 @@ canonical lines, joined by a space, is hash-joined to the digests of known licen
 case, layout, punctuation, copyright holders and spelling don't matter and nothing else does. A line that is
 a known notice by itself is found by the same digests, looked up in place.
 
-Known texts are a table of a few rows, given or KNOWN; it is broadcast only when it has at most MOST_KNOWN
+Known texts are a table, given or KNOWN (short licences with and without their usual titles, full texts from the
+files in licenses/, and common wordings of notices); it is broadcast only when it has at most MOST_KNOWN
 rows. Defined results: null and blank texts have the digest of the empty text and no licence; a text that
 matches two known ids reports the least; repeated rows each get their row; an empty table gives none.
 """
@@ -14,6 +15,8 @@ matches two known ids reports the least; repeated rows each get their row; an em
 from __future__ import annotations
 
 import hashlib
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +41,7 @@ _BSD = """Redistribution and use in source and binary forms, with or without mod
 """
 _BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 # fixed values: texts of well-known short licences and notices, without titles and copyright lines
-KNOWN = (
+_SHORT = (
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
@@ -61,6 +64,61 @@ Permission is granted to anyone to use this software for any purpose, including
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+# fixed values: the usual titles of the short licences, and the names by which notices call each
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero-Clause License (0BSD)", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "Revised BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng License"),
+}
+NAMES = {
+    "MIT": ("MIT License", "MIT"),
+    "ISC": ("ISC License", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD License", "0BSD License", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause"),
+    "Zlib": ("zlib License", "zlib/libpng License", "Zlib"),
+    "Apache-2.0": ("Apache License, Version 2.0", 'Apache License, Version 2.0 (the "License")', "Apache License 2.0", "Apache License v2.0", "Apache License v2", "Apache Version 2.0 License", "Apache 2.0 License", "Apache 2.0", "Apache 2 License"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU General Public License v3", "GNU General Public License 3.0", "GNU GPL, version 3", "GNU GPL v3.0", "GNU GPL v3", "GNU GPLv3", "GPL v3.0", "GPL v3", "GPLv3", "GPLv3 License", "GPL-3.0 License", "GPL-3.0", "GPL-3.0-only"),
+    "MPL-2.0": ("Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License v2.0", "Mozilla Public License 2.0", "MPL 2.0 License", "MPL 2.0", "MPL v2.0", "MPLv2"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "CC0 1.0 Universal License", "CC0", "CC0 License", "CC0 1.0 License", "Creative Commons Zero v1.0 Universal", "Creative Commons CC0 1.0 Universal License"),
+} | {
+    f"CC-{k}-4.0": (f"CC {k} 4.0", f"CC-{k} 4.0", f"CC {k} 4.0 License", f"Creative Commons {n} 4.0", f"Creative Commons {n} 4.0 License", f"Creative Commons {n} 4.0 International", f"Creative Commons {n} 4.0 International License", f"Creative Commons {n} 4.0 International Public License")
+    for k, n in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"))
+}
+_THINGS = ("work", "project", "software", "program", "code", "file", "library", "document")
+# fixed values: wordings of notices around a name, with and without "the" before it
+_FORMS = (
+    "Licensed under {}", "Released under {}", "Distributed under {}", "Available under {}", "Published under {}", "Licensed under the terms of {}", "Released under the terms of {}", "Distributed under the terms of {}",
+    *(f"This {t} is {how} under {{}}" for t in _THINGS for how in ("licensed", "released", "distributed")),
+)
+
+
+def _whole() -> list[tuple[str, str]]:
+    """The long licences from their files, as they are and without the lines of their titles."""
+    skipped = {"Apache-2.0": 3, "GPL-3.0": 2, "MPL-2.0": 2, "CC0-1.0": 2, "CC-BY-SA-4.0": 1}
+    out = []
+    for name, n in skipped.items():
+        text = (Path(__file__).parent / "licenses" / f"{name}.txt").read_text(encoding="utf-8")
+        lines = [x for x in text.split("\n") if x.strip()]
+        out += [(name, text), (name, "\n".join(lines[n:]))]
+    # the file is often shipped without the appendix on how to apply it
+    out += [(name, cut) for name, text in list(out) for mark in ("END OF TERMS AND CONDITIONS",) if mark in text for cut in (text[: text.index(mark)], text[: text.index(mark)] + mark)]
+    return out
+
+
+def _notices() -> list[tuple[str, str]]:
+    out = []
+    for name, called in NAMES.items():
+        out += [(name, f.format(the + n)) for n in called for f in _FORMS for the in ("", "the ", *(("a ",) if n.startswith("Creative") else ()))]
+        out += [(name, f"{f}{n}") for n in (*called, name) for f in ("License: ", "SPDX-License-Identifier: ")]
+    out += [("GPL-3.0", f"SPDX-License-Identifier: GPL-3.0-{x}") for x in ("only", "or-later")]
+    return out
+
+
+KNOWN = (*_SHORT, *((n, f"{t}\n{x}") for n, x in _SHORT if "\n" in x for t in TITLES[n]), *_whole(), *_notices())
 
 
 def _spelt(sql: str) -> str:
@@ -85,6 +143,7 @@ def digest(text: str | None) -> str:
     return hashlib.sha256(canonical(text).encode()).hexdigest()
 
 
+@cache
 def known_digests(known: tuple = KNOWN) -> dict[str, str]:
     """Digest to least licence id."""
     out: dict[str, str] = {}
@@ -101,9 +160,12 @@ def scan(docs: DataFrame, known: tuple = KNOWN, doc_id: str = "doc_id", text: st
     kept = F.filter(lines, lambda x: ~x.rlike(COPYRIGHT))
     plain = F.filter(F.transform(kept, lambda x: F.trim(F.regexp_replace(_replaced(x), BREAK, " "))), lambda x: x != "")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).withColumn("__lines", plain)
-    lengths = sorted({len(canonical(t)) for _, t in known})
-    lookup = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]) if table else F.lit(None).cast("map<string,string>")
-    found = F.filter(F.transform(F.filter("__lines", lambda x: F.length(x).isin(lengths)), lambda x: F.element_at(lookup, F.sha2(x, 256))), lambda x: x.isNotNull())
+    plains = {c for c in (canonical(t) for _, t in known) if c}
+    # a line that is a known text by itself has the length, first and last word of one
+    lengths, firsts, lasts = sorted({len(c) for c in plains}), sorted({c.split(" ", 1)[0] for c in plains}), sorted({c.rsplit(" ", 1)[-1] for c in plains})
+    # one literal, folded to a map once
+    lookup = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in sorted(table.items()))), F.lit("\x02"), F.lit("\x01")) if table else F.lit(None).cast("map<string,string>")
+    found = F.filter(F.transform(F.filter("__lines", lambda x: F.length(x).isin(lengths) & F.substring_index(x, " ", 1).isin(firsts) & F.substring_index(x, " ", -1).isin(lasts)), lambda x: F.element_at(lookup, F.sha2(x, 256))), lambda x: x.isNotNull())
     own = own.select("doc_id", F.sha2(F.array_join("__lines", " "), 256).alias("digest"), found.alias("__found"))
     ids = spark.createDataFrame(sorted(table.items()) or [], "digest string, license string")
     joined = own.join(F.broadcast(ids) if len(table) <= MOST_KNOWN else ids, "digest", "left")
