@@ -1,7 +1,7 @@
 r"""License scans by canonical digests.
 
-A text is cut into lines, lower-cased; lines that state a copyright or reserve all rights are dropped;
-equivalent spellings become one; runs of anything but letters and digits become a space. The SHA-256 of all
+A text is cut into lines, lower-cased; copyright statements at the start of a line or behind a title, and lines that
+reserve all rights, are dropped (oracle_sql still drops the whole line, by COPYRIGHT); equivalent spellings become one; runs of anything but letters and digits become a space. The SHA-256 of all
 canonical lines, joined by a space, is hash-joined to the digests of known licence texts, canonised alike, so
 case, layout, punctuation, copyright holders and spelling don't matter and nothing else does. A line that is
 a known notice by itself is found by the same digests, looked up in place.
@@ -15,6 +15,7 @@ matches two known ids reports the least; repeated rows each get their row; an em
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import cache
 from pathlib import Path
 
@@ -23,6 +24,15 @@ from pyspark.sql import functions as F
 
 MOST_KNOWN = 10_000
 COPYRIGHT = r"^[^\p{L}\p{N}(©]*(copyright|\(c\)|©)[^\p{L}\p{N}]*((\(c\)|c|©)[^\p{L}\p{N}]*)?([0-9]{4}|<year>|\[yyyy\]|\[year\])|^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
+# words after "copyright" that make it prose, as in a licence's own wrapped lines
+_PROSE = r"(?:holders?|owners?|notices?|laws?|treaty|treaties|acts?|licen[sc]es?|statements?|interests?|and|or|in|of|is|are|as|information|protection|disclaimer|status|rights?|permission|materials?|works?|terms|management|ownership|claims?|infringement|to|for|on|with|that|which|shall|may|must|not|office|this|line)\b"
+_YEAR = r"(?:[0-9]{4}|<year>|\[yyyy\]|\[year\])"
+_MARK = r"(?:copyright[^\p{L}\p{N}]*(?:(?:\(c\)|c\b|©)[^\p{L}\p{N}]*)?|(?:\(c\)|©)[^\p{L}\p{N}]*(?:copyright[^\p{L}\p{N}]*)?)"
+# a year after the mark; a sign beside it and any holder; a holder and then a year; a capitalised holder
+_BEGIN = rf"(?:{_MARK}{_YEAR}|(?:copyright\s*(?:\(c\)|©)|©)\s*[\p{{L}}<\[]|copyright\s+(?!{_PROSE})[^\n.;:]{{1,80}}?\b(?:19|20)[0-9]{{2}}\b|(?-i:Copyright)\s+(?!{_PROSE})(?-i:\p{{Lu}}))"
+# where a licence or notice begins behind the holder
+_OPEN = r"(?<![\p{L}\p{N}])(?:all rights reserved|permission is hereby|permission to use|permission is granted|redistributions? and use|licen[sc]ed under|released under|distributed under|available under|published under|spdx-licen[sc]e|licen[sc]e:|this (?:work|project|software|program|code|file|library|document|source code form) is|this licen[sc]e|everyone is permitted)"
+_ABBREVIATED = r"(?<!\b(?:inc|ltd|co|corp|llc|gmbh|jr|sr|dr|st|bros|\p{L}))"
 BREAK = r"[^\p{L}\p{N}]+"
 # fixed values: spellings held equal when licence texts are matched
 SPELLINGS = (
@@ -121,6 +131,11 @@ def _notices() -> list[tuple[str, str]]:
 KNOWN = (*_SHORT, *((n, f"{t}\n{x}") for n, x in _SHORT if "\n" in x for t in TITLES[n]), *_whole(), *_notices())
 
 
+_TITLED = "|".join(sorted({r"[^\p{L}\p{N}]+".join(re.findall(r"\w+", t)) for ts in TITLES.values() for t in ts}, key=lambda t: (-len(t), t)))
+# a copyright statement: mark, years and holder up to a licence's or notice's beginning, a sentence's end or the line's end; a title before it stays
+STATEMENT = rf"(?i)^((?:[^\p{{L}}\p{{N}}(©]*(?:{_TITLED})(?![\p{{L}}\p{{N}}]))?)[^\p{{L}}\p{{N}}(©]*{_BEGIN}(?:[^\n]*?(?={_OPEN})|[^\n]*?{_ABBREVIATED}[.!?](?=\s+(?-i:\p{{Lu}}))|[^\n]*)(?:all rights reserved[^\p{{L}}\p{{N}}]*)?"
+RESERVED = r"^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
+
 def _spelt(sql: str) -> str:
     for a, b in SPELLINGS:
         if a != b:
@@ -132,7 +147,8 @@ def canonical(text: str | None) -> str:
     """The canonical form in Python, for known texts."""
     import regex
 
-    lines = [x for x in (text or "").lower().split("\n") if not regex.search(COPYRIGHT, x)]
+    lines = [regex.sub(STATEMENT, r"\1 ", x).lower() for x in (text or "").split("\n")]
+    lines = [x for x in lines if not regex.search(RESERVED, x)]
     for a, b in SPELLINGS:
         lines = [x.replace(a, b) for x in lines]
     lines = [regex.sub(BREAK, " ", x).strip(" ") for x in lines]
@@ -156,8 +172,8 @@ def scan(docs: DataFrame, known: tuple = KNOWN, doc_id: str = "doc_id", text: st
     """doc_id, digest, license (of the whole text, or null), n_notices (lines that are known by themselves), notices (their ids, sorted, joined by ;) for each row."""
     spark = docs.sparkSession
     table = known_digests(known)
-    lines = F.expr("split(lower(coalesce(__text, '')), '\\n')")
-    kept = F.filter(lines, lambda x: ~x.rlike(COPYRIGHT))
+    lines = F.transform(F.expr("split(coalesce(__text, ''), '\\n')"), lambda x: F.lower(F.regexp_replace(x, STATEMENT, "$1 ")))
+    kept = F.filter(lines, lambda x: ~x.rlike(RESERVED))
     plain = F.filter(F.transform(kept, lambda x: F.trim(F.regexp_replace(_replaced(x), BREAK, " "))), lambda x: x != "")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).withColumn("__lines", plain)
     plains = {c for c in (canonical(t) for _, t in known) if c}
