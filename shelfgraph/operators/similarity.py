@@ -35,6 +35,12 @@ def _sparse(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return matrix(a) @ matrix(b).T
 
 
+def with_terms(vectors: DataFrame, weights: DataFrame) -> DataFrame:
+    """Every vector (id, vector) with its terms and weights (id, terms, weights); empty arrays where it has none, which score 0 there."""
+    joined = vectors.join(weights, "id", "left")
+    return joined.withColumns({"terms": F.coalesce("terms", F.array().cast("array<string>")), "weights": F.coalesce("weights", F.array().cast("array<double>"))})
+
+
 def neighbours(vectors: DataFrame, k: int, threshold: float = -1.0, weight: float = 0.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """[SIM1, JN29, TOP4, SCL-N5-N8] (src, dst, score, rank): each id's k most similar others at or over threshold, ties by id.
 

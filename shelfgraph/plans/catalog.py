@@ -416,7 +416,7 @@ ranked AS (SELECT src, dst, score FROM (SELECT *, row_number() OVER (PARTITION B
 SELECT least(src, dst) AS source, greatest(src, dst) AS target, round(max(score), 6) AS score FROM ranked GROUP BY ALL""")
 def hybrid_edges(spark, d):
     weights = text.tfidf(table(spark, d, "documents")).groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(weights, "id")
+    vectors = similarity.with_terms(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), weights)
     return similarity.edges(similarity.neighbours(vectors, 10, 0.3, 0.1)).withColumn("score", F.round("score", 6))
 
 

@@ -46,7 +46,7 @@ def analyse(documents: DataFrame, vectors: DataFrame, config: Config | None = No
         from pyspark.sql import functions as F
 
         weights = text.tfidf(documents, "id", "text", c.ngrams, c.min_df, c.max_df, c.max_terms)
-        return {"rows": vectors.join(weights.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")), "id")}
+        return {"rows": similarity.with_terms(vectors, weights.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")))}
 
     steps = [
         ("tf-idf", terms),

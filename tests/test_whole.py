@@ -45,3 +45,13 @@ def test_license_scan_removes_only_the_copyright_statement(spark):
     both = ["Copyright 2020 Foo. Licensed under the Apache License, Version 2.0.", "# Copyright (c) 2020 Foo, Inc. Released under the MIT License."]
     assert [x[2] for x in _scanned(spark, [f"Some text.\n{x}\nMore." for x in both])] == ["Apache-2.0", "MIT"]
     assert [x[0] for x in _scanned(spark, [f"Copyright 2020 Foo. You may copy it on Sundays.\n{mit}", f"(c) You must retain this.\n{mit}", f"Copyright law applies in 2020.\n{mit}"])] == [None] * 3
+
+
+def test_hybrid_edges_keep_works_without_terms(spark, tmp_path):
+    docs = [(0, "river stone river"), (1, "river stone"), (2, None), (3, "unheard"), (5, "stone moss"), (6, "moss")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = {0: [1.0, 0.0], 1: [1.0, 0.0], 2: [1.0, 0.0], 3: [0.0, 1.0], 4: [0.0, 1.0]}
+    spark.createDataFrame([(k, [float(x) for x in v]) for k, v in vectors.items()], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.source, r.target): r.score for r in catalog.hybrid_edges(spark, str(tmp_path)).collect()}
+    assert set(got) == {(0, 1), (0, 2), (1, 2), (3, 4)}
+    assert got[0, 2] == got[1, 2] == got[3, 4] == 0.9 and 0.9 < got[0, 1] <= 1.0
