@@ -7,8 +7,10 @@ shorter text has characters.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,3 +61,37 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(_mapped(set_ratio), "double")(a, b)
+
+
+def edit_pairs(names: DataFrame, name: str, threshold: float, limit: int | None = None, block_rows: int = 512) -> DataFrame:
+    """[JN28, ER4] (source, candidate, sort_ratio, set_ratio) of distinct trimmed names, source < candidate, either ratio at or over threshold.
+
+    Every pair is scored: names are dealt to blocks by hash and each pair of blocks is one bounded task, so the
+    work is quadratic in the distinct names and nothing grows with them but the number of tasks. limit: best of
+    each name by sort_ratio, ties by name.
+    """
+    own = names.select(F.trim(name).alias("n")).where("n <> ''").distinct()
+    blocks = max(1, math.ceil(own.count() / block_rows))
+    dealt = own.withColumn("blk", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int"))
+    left = dealt.select(F.col("blk").alias("i"), F.explode(F.sequence("blk", F.lit(blocks - 1))).alias("j"), "n")
+    right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("ri"), F.col("blk").alias("rj"), F.col("n").alias("m"))
+
+    def score(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for x in a["n"] if len(a) else ():
+            for y in b["m"] if len(b) else ():
+                # a pair within one block is met from both sides
+                if x == y or (key[0] == key[1] and x > y):
+                    continue
+                p, q = min(x, y), max(x, y)
+                one, two = sorted_ratio(p, q), set_ratio(p, q)
+                if max(one, two) >= threshold:
+                    rows.append((p, q, one, two))
+        return pd.DataFrame(rows, columns=["source", "candidate", "sort_ratio", "set_ratio"])
+
+    scored = left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(score, "source string, candidate string, sort_ratio double, set_ratio double")
+    if limit is None:
+        return scored
+    both = scored.withColumn("of", F.explode(F.array("source", "candidate"))).withColumn("other", F.when(F.col("of") == F.col("source"), F.col("candidate")).otherwise(F.col("source")))
+    best = both.withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("sort_ratio"), "other"))).where(F.col("r") <= limit)
+    return best.select("source", "candidate", "sort_ratio", "set_ratio").distinct()

@@ -608,7 +608,6 @@ def coverage_success(spark, d):
 
 @query("fuzzy_edit_ratio")
 def fuzzy_edit_ratio(spark, d):
-    from shelfgraph.functions.fuzzy import token_set_ratio, token_sort_ratio
+    from shelfgraph.functions.fuzzy import edit_pairs
 
-    pairs = tables.similar_names(table(spark, d, "part"), "p_name", 30, blocked=False)
-    return pairs.select("source", "candidate", F.round(token_sort_ratio(F.col("source"), F.col("candidate")), 4).alias("sort_ratio"), F.round(token_set_ratio(F.col("source"), F.col("candidate")), 4).alias("set_ratio"))
+    return edit_pairs(table(spark, d, "part"), "p_name", 30).withColumns({c: F.round(c, 4) for c in ("sort_ratio", "set_ratio")})

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+from shelfgraph.functions import fuzzy
 from shelfgraph.llm import license_scan
 from shelfgraph.plans import catalog
 
@@ -55,3 +56,18 @@ def test_hybrid_edges_keep_works_without_terms(spark, tmp_path):
     got = {(r.source, r.target): r.score for r in catalog.hybrid_edges(spark, str(tmp_path)).collect()}
     assert set(got) == {(0, 1), (0, 2), (1, 2), (3, 4)}
     assert got[0, 2] == got[1, 2] == got[3, 4] == 0.9 and 0.9 < got[0, 1] <= 1.0
+
+
+def test_fuzzy_edit_ratio_meets_names_without_a_shared_token(spark, tmp_path):
+    names = ["fantasy", "fantasie", "tolkien", " tolkein", "Sea stories", "stories sea", "seastories", "x", "quilts", "a very long name of the sea", "", None]
+    spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    own = sorted({n.strip() for n in names if n})
+    want = {(a, b): (fuzzy.sorted_ratio(a, b), fuzzy.set_ratio(a, b)) for a in own for b in own if a < b}
+    want = {k: tuple(round(x, 4) for x in v) for k, v in want.items() if max(v) >= 30}
+    assert ("fantasie", "fantasy") in want and ("tolkein", "tolkien") in want
+    assert {(r.source, r.candidate): (r.sort_ratio, r.set_ratio) for r in catalog.fuzzy_edit_ratio(spark, str(tmp_path)).collect()} == want
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    blocked = fuzzy.edit_pairs(df, "n", 30, block_rows=3).collect()
+    assert len(blocked) == len(want) and {(r.source, r.candidate) for r in blocked} == set(want)
+    best = {(r.source, r.candidate) for r in fuzzy.edit_pairs(df, "n", 30, limit=1).collect()}
+    assert {("fantasie", "fantasy"), ("tolkein", "tolkien"), ("Sea stories", "stories sea")} <= best and len(best) <= len(own)
