@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests, local runs)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and driver and executors are one process (tests, local runs)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="shelfgraph-"))
         root = _own[0]
@@ -38,4 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read again; cheaper to keep than a checkpoint as columns are packed."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes what `written` wrote for frames that no later job reads."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
