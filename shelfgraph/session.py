@@ -14,7 +14,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset and driver and executors are one process (tests, local runs)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="shelfgraph-"))
