@@ -1,18 +1,22 @@
 r"""Line dedup by an exact set-similarity join (prefix, positional and length filters, verified Jaccard).
 
-A line is the set of its words (ASCII lower case). Lines with equal sets are one node that stands where it
-first occurs (by doc_id, nulls last, then text hash and line number). Tokens are ordered by rarity; two sets
-with Jaccard >= 4/5 share one of the first n - ceil(4n/5) + 1 tokens, so only those are indexed. A line goes
+A line is the set of its words (ASCII lower case). Lines with equal sets are one set that stands where it
+first occurs (by doc_id, nulls last, then text hash and line number). Words are ordered by rarity; two sets
+with Jaccard >= 4/5 share one of the first n - ceil(4n/5) + 1 words, so only those are entries. A line goes
 if its set occurred before, or if an earlier set is similar (its removal doesn't matter: earlier is enough).
 
-Rarity comes from counts of token hashes in 2**SKETCH_BITS cells over all lines, summed in blocks and
-broadcast as one byte a cell (16 MB, whatever the corpus). Cells only order tokens and drop those that occur
-once, which nothing can match; a full sketch costs speed, not results. Besides length and position, pairs pass
-a parity filter: 64 parities of a set's tokens differ in at most as many bits as the sets differ in tokens.
-Every set is first compared with the earliest one under each of its tokens, which settles groups of near
-copies with a row or two a member; only sets still open are joined with all earlier ones, and only pairs that
-pass the filters are made. Tokens of pairs are fetched in a further pass over the texts through a Bloom filter
-of fixed size, and Jaccard is counted on 64-bit hashes.
+Rarity comes from counts of word hashes in 2**SKETCH_BITS cells over the lines (a line that a task has met is
+counted once), summed in blocks and broadcast as one byte a cell (16 MB, whatever the corpus). Cells only order
+words and drop those that occur once, which nothing can match; a full sketch costs speed, not results.
+
+Entries are dealt by word and sorted by word and set size, once. One pass over the sorted entries compares each
+with those of its word inside the size window, LONG of them, and emits the pairs that also pass the positional
+filter and a parity filter (64 parities of a set's words differ in at most as many bits as the sets in words). An
+entry emits at most FEW pairs and the one with its earliest partner, so a group of near copies costs a few rows a
+member. Sets with more partners, or with a window beyond LONG, are remembered; those among them that no emitted
+pair settles are joined with all entries of their words, so that no pair is lost. Words of pairs are fetched in
+a pass over the documents that hold them, found through Bloom filters sized by their number, and Jaccard is
+counted on 64-bit hashes (of a word's bytes, eight at a time, each step mixed; words over a kilobyte by BLAKE2b).
 
 Defined results: lines without words are kept; null texts stay null; a text all of whose lines go becomes
 empty; of repeated rows (same id and text) one keeps its lines; long texts are treated whole; an empty table
@@ -22,6 +26,7 @@ gives none; columns besides text and n_chars are untouched.
 from __future__ import annotations
 
 import gc
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -30,40 +35,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfgraph.llm.shared import fresh, map_batches, sliced
-from shelfgraph.session import written
+from shelfgraph.session import dropped, written
 
 NUM, DEN = 4, 5  # Jaccard >= NUM / DEN
 SKETCH_BITS = 24
-BLOOM_BITS = 25
+MOST_BLOOM_BITS = 28
 BLOCK = 1 << 16
 SEEN_SETS = 300_000
-SLICE = 4 << 20  # bytes of text at once: hashing holds some sixty times as much
-
-
-_BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-_known: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; the longest row asked for stays."""
-    held = _known.get(base)
-    if held is not None and len(held) >= n:
-        return held[:n]
-    out = np.ones(max(1, n), np.uint64)
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
-        done += step
-    _known[base] = out
-    return out[:n]
+SLICE = 4 << 20  # bytes of text at once
+FEW = 4
+LONG = 1024
+ROWS = 1 << 18  # entries compared at once
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BLANK = bytes(int(c in b"\t\n\v\f\r ") for c in range(256))
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LOW = (1 << 24) - 1
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -73,72 +59,87 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of a buffer (ASCII lower case, ASCII white space) and where it starts.
-
-    Words are hashed without being cut out: differences of the running sum of byte * base ** place, moved to
-    place 0 by base ** -start, mixed with the length.
-    """
-    blank = _BLANK[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER[raw] + np.uint64(1)) * _powers(_BASE, len(raw)), out=total[1:])
-    h = (total[end] - total[start]) * _powers(_INVERSE, len(raw) + 1)[start]
-    return _mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
-
-
-def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the texts with a line feed behind each, and where each ends."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
-    return np.frombuffer(b"\n".join(raw) + b"\n", np.uint8), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+def _hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of raw (ASCII lower case, ASCII white space; raw begins and ends with a line feed) and where it starts."""
+    blank = np.frombuffer(raw.translate(_BLANK), np.uint8)
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, size = edge[0::2], edge[1::2] - edge[0::2]
+    low = raw.translate(_LOWER) + bytes(8)
+    eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))  # eight bytes from each place on
+    h = eight[start] & _MASK[np.minimum(size, 8)]
+    h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    rest, at = np.flatnonzero((size > 8) & (size <= 1024)), 8
+    while len(rest):
+        left = size[rest] - at
+        h[rest] = _mix((h[rest] ^ (eight[start[rest] + at] & _MASK[np.minimum(left, 8)])) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))
+        rest, at = rest[left > 8], at + 8
+    for i in np.flatnonzero(size > 1024).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : start[i] + size[i]], digest_size=8).digest(), "little")
+    return h, start
+
+
+class _Lines:
+    """Words of the lines of some texts: hashes h, and of each line with words its first word, number of words, text and line number."""
+
+    def __init__(self, texts: pa.Array):
+        held = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+        raw = b"\n".join([b"", *held, b""])
+        self.h, start = _hashes(raw)
+        feeds = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+        first = np.searchsorted(start, feeds)
+        words = np.diff(first)
+        at = np.flatnonzero(words)
+        self.first, self.words = first[:-1][at], words[at]
+        begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1)])[:-1]
+        line = np.searchsorted(feeds, begin)  # each text's first line
+        self.text = np.searchsorted(line, at, side="right") - 1
+        self.number = (at - line[self.text]).astype(np.int32)
+
+    def names(self) -> np.ndarray:
+        """Order-free hash of each line's words, repeats included: cheaper than the set's."""
+        return np.add.reduceat(_mix(self.h), self.first) if len(self.first) else np.zeros(0, np.uint64)
 
 
 class _Sets:
-    """Token sets of the lines of some texts, in line order: hashes h, start and size of each set, its document and line number."""
+    """Word sets of the lines of some texts, in line order: hashes h, start and size of each set, its text and line number."""
 
-    def __init__(self, texts: pa.Array, codes: np.ndarray | None, bits: int):
-        raw, ends = _buffer(texts)
-        h, start = _hashes(raw)
-        feeds = np.flatnonzero(raw == 10)
-        line = np.searchsorted(feeds, start)
+    def __init__(self, texts: pa.Array, codes: np.ndarray | None = None, bits: int = 0):
+        lines = _Lines(texts)
+        h, rank = lines.h, np.repeat(np.arange(len(lines.first)), lines.words)
+        self.text, self.number = lines.text, lines.number
         code = codes[(h >> np.uint64(64 - bits)).astype(np.int64)] if codes is not None else np.zeros(len(h), np.uint8)
-        # by line, rarity, hash; the last 32 bits of the hash only keep equal tokens together
-        new = np.diff(line, prepend=-1) != 0
-        rank = np.cumsum(new) - 1
-        order = np.lexsort((h, (rank.astype(np.uint64) << np.uint64(8)) | code)) if len(h) else np.zeros(0, np.int64)
-        h, rank, line, code = h[order], rank[order], line[order], code[order]
+        # by line, rarity, hash
+        key = (rank.astype(np.uint64) << np.uint64(40)) | (code.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
+        order = np.argsort(key)
+        k, sorted_h = key[order], h[order]
+        if len(lines.first) >= 1 << 24 or ((k[1:] == k[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():  # the key is too short for these
+            order = np.lexsort((h, code, rank))
+        h, rank, code = h[order], rank[order], code[order]
         keep = np.ones(len(h), bool)
         keep[1:] = (h[1:] != h[:-1]) | (rank[1:] != rank[:-1])
-        self.h, self.code, line, rank = h[keep], code[keep], line[keep], rank[keep]
+        self.h, self.code, rank = h[keep], code[keep], rank[keep]
         self.start = np.flatnonzero(np.diff(rank, prepend=-1))
         self.n = np.diff(np.append(self.start, len(self.h)))
-        at = line[self.start]
-        self.doc = np.searchsorted(ends, feeds[at], side="right")
-        self.number = (at - np.concatenate([[0], np.searchsorted(feeds, ends - 1, side="right")])[self.doc]).astype(np.int32)
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two order-free 64-bit sums that name each set."""
+        """A sum and a parity that name each set by 128 bits. Parities of two sets differ in at most as many bits as the sets in words."""
         if not len(self.start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.add.reduceat(_mix(self.h), self.start).view(np.int64), np.add.reduceat(_mix(self.h ^ np.uint64(0xA0761D6478BD642F)), self.start).view(np.int64)
-
-    def parities(self) -> np.ndarray:
-        """64 bits a set: each the parity of the tokens that fall on it. Two sets' parities differ in at most as many bits as the sets in tokens."""
-        if not len(self.start):
-            return np.zeros(0, np.int64)
         bit = np.uint64(1) << (self.h >> np.uint64(7) & np.uint64(63))
-        return np.bitwise_xor.reduceat(bit, self.start).view(np.int64)
+        return np.add.reduceat(_mix(self.h), self.start).view(np.int64), np.bitwise_xor.reduceat(bit, self.start).view(np.int64)
 
 
 def _count_cells(bits: int):
     def run(batches):
-        total = np.zeros(1 << bits, np.uint32)
+        total, seen = np.zeros(1 << bits, np.uint32), set()
         for batch in batches:
             for part in sliced(batch, SLICE):
-                h, _ = _hashes(_buffer(part.column(0))[0])
-                cell, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                total[cell] += n.astype(np.uint32)
+                lines = _Lines(part.column(0))
+                new = np.fromiter((x not in seen and not seen.add(x) for x in lines.names().tolist()), bool, len(lines.first))
+                if len(seen) > SEEN_SETS:
+                    seen.clear()
+                cell = (lines.h[np.repeat(new, lines.words)] >> np.uint64(64 - bits)).astype(np.int64)
+                np.add.at(total, cell, np.uint32(1))
         for block in range(max(1, (1 << bits) // BLOCK)):
             part = total[block * BLOCK : (block + 1) * BLOCK]
             at = np.flatnonzero(part)
@@ -160,7 +161,7 @@ def _add_cells(key, rows):
 
 
 def token_sketch(docs: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -> np.ndarray:
-    """One byte a cell: how often tokens of the cell occur (exact below 128, then by logarithm)."""
+    """One byte a cell: how often words of the cell occur (exact below 128, then by logarithm)."""
     cells = docs.select(text).mapInArrow(_count_cells(bits), "block int, cells binary")
     codes = np.zeros(1 << bits, np.uint8)
     for row in cells.groupBy("block").applyInPandas(_add_cells, "block int, codes binary").collect():  # 2**bits bytes in all
@@ -169,40 +170,153 @@ def token_sketch(docs: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -
     return codes
 
 
-LINES = "doc_id long, h long, line int, g1 long, g2 long, n int, parity long, prefix array<long>"
+LINES = "doc_id long, h long, line int, g1 long, g2 long, n int, prefix array<long>"
+LAST = (1 << 63) - 1  # where null ids stand
 
 
 def _index(sketch, bits: int):
     def make():
-        codes, seen = sketch.value, set()
+        codes, seen = sketch.value, {}
 
         def each(batch):
             s = _Sets(batch.column(2), codes, bits)
             if not len(s.start):
-                return [[]] * 8
+                return [[]] * 7
             g1, g2 = s.ids()
-            fresh = np.fromiter((x not in seen and not seen.add(x) for x in zip(g1.tolist(), g2.tolist(), strict=True)), bool, len(g1))
+            at = pa.array(s.text)
+            doc = batch.column(0).take(at)
+            new = np.zeros(len(g1), bool)
+            # a set already met by this task in an earlier document has no prefix of its own
+            for i, (x, y, d) in enumerate(zip(g1.tolist(), g2.tolist(), doc.fill_null(LAST).to_pylist(), strict=True)):
+                if d < seen.get((x, y), LAST + 1):
+                    seen[x, y], new[i] = d, True
             if len(seen) > SEEN_SETS:
                 seen.clear()
             place = np.arange(len(s.h)) - np.repeat(s.start, s.n)
-            inside = (place < np.repeat(s.n - -(-NUM * s.n // DEN) + 1, s.n)) & (s.code > 1) & np.repeat(fresh, s.n)
+            inside = (place < np.repeat(s.n - -(-NUM * s.n // DEN) + 1, s.n)) & (s.code > 1) & np.repeat(new, s.n)
             counts = np.add.reduceat(inside, s.start, dtype=np.int64)
-            # the top 40 bits name the token to the join, which verification makes exact; the rest is the place
-            items = ((s.h[inside] >> np.uint64(24) << np.uint64(24)) | np.minimum(place[inside], (1 << 24) - 1).astype(np.uint64)).view(np.int64)
+            # the top 40 bits name the word to the join, which verification makes exact; the rest is the place
+            items = ((s.h[inside] >> np.uint64(24) << np.uint64(24)) | np.minimum(place[inside], _LOW).astype(np.uint64)).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            # a set already met by this task has no prefix of its own
-            prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(~fresh, False)), pa.array(items))
-            at = pa.array(s.doc)
-            return [batch.column(0).take(at), batch.column(1).take(at), pa.array(s.number), pa.array(g1), pa.array(g2), pa.array(s.n.astype(np.int32)), pa.array(s.parities()), prefix]
+            prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(~new, False)), pa.array(items))
+            return [doc, batch.column(1).take(at), pa.array(s.number), pa.array(g1), pa.array(g2), pa.array(s.n.astype(np.int32)), prefix]
 
         return each
 
     return make
 
 
-def _bloom_places(g1: np.ndarray, g2: np.ndarray, bits: int) -> list[np.ndarray]:
-    a, b = g1.view(np.uint64), g2.view(np.uint64)
-    return [((a + np.uint64(k) * b) >> np.uint64(64 - bits)).astype(np.int64) for k in (1, 2, 3)]
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64)).astype(np.int64)
+
+
+def passes(n, m, p, q, differ):
+    """Length, positional and parity filters of two entries of sizes n, m at places p, q whose parities differ in so many bits."""
+    need = NUM * (n + m)
+    ok = (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & ((NUM + DEN) * np.minimum(n - p, m - q) >= need) & ((NUM + DEN) * (n + m - differ) >= 2 * need)
+    return ok | ((n == _LOW) & (m == _LOW))  # sizes beyond what an entry holds
+
+
+PAIRS = "a1 long, a2 long, b1 long, b2 long"
+
+
+class _Window:
+    """Compares sorted entries (k: word and size, g1, g2, place, ord) with those of their word inside the size window, block by block.
+
+    pairs() gives rows of PAIRS; where b is null, a has partners that were not emitted.
+    """
+
+    def __init__(self):
+        self.held = [np.zeros(0, np.int64)] * 5
+        self.count, self.best = np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
+        self.cut = None  # the word whose window went beyond LONG
+
+    def pairs(self, new: list[np.ndarray], last: bool) -> list[pa.Array]:
+        old = len(self.held[0])
+        k, g1, g2, p, ord_ = (np.concatenate([a, b]) for a, b in zip(self.held, new, strict=True))
+        # equal sets of one word stand side by side: one entry, in the least document
+        rows = np.arange(len(k))
+        same = np.zeros(len(k), bool)
+        same[1:] = (k[1:] == k[:-1]) & (g1[1:] == g1[:-1]) & (g2[1:] == g2[:-1])
+        same[:old] = False
+        again = k[old] >> 24 if same[old : old + 1].any() else None  # a held entry may stand in an earlier document than known
+        if same.any():
+            start = np.flatnonzero(~same)
+            least = np.minimum.reduceat(ord_, start)
+            k, g1, g2, p, ord_ = k[start], g1[start], g2[start], p[start], least
+            rows = np.arange(len(k))
+        t, n = k >> 24, k & _LOW
+        first = np.maximum.accumulate(np.where(np.diff(t, prepend=t[:1] - 1) != 0, rows, 0)) if len(t) else rows
+        place = rows - first
+        count = np.zeros(len(k), np.int64)
+        best = np.zeros((len(k), 3), np.int64)
+        best[:, 2] = LAST
+        count[:old], best[:old] = self.count, self.best
+        cut = np.zeros(len(k), bool)
+        for word in (self.cut, again):
+            if word is not None:
+                cut |= t == word
+        out: list[tuple] = []
+        i, d = rows[old:], 1
+        while len(i) and d <= LONG:
+            i = i[(place[i] >= d)]
+            j = i - d
+            inside = DEN * n[j] >= NUM * n[i]
+            i, j = i[inside], j[inside]
+            ok = passes(n[i], n[j], p[i], p[j], _bits(g2[i] ^ g2[j])) & ((g1[i] != g1[j]) | (g2[i] != g2[j]))
+            x, y = i[ok], j[ok]
+            late, tie = ord_[x] > ord_[y], ord_[x] == ord_[y]
+            emit = np.zeros(len(x), bool)
+            for a, b, mine in ((x, y, late | tie), (y, x, ~late)):
+                a, b, = a[mine], b[mine]
+                emit[mine] |= count[a] < FEW
+                count[a] += 1
+                sooner = ord_[b] < best[a, 2]
+                best[a[sooner]] = np.stack([g1[b], g2[b], ord_[b]], axis=1)[sooner]
+            out.append((g1[x[emit]], g2[x[emit]], g1[y[emit]], g2[y[emit]]))
+            d += 1
+        if len(i := i[place[i] >= d]):
+            i = i[DEN * n[i - d] >= NUM * n[i]]
+            cut |= np.isin(t, np.unique(t[i]))
+        # entries of the last word that later ones may still meet stay
+        stay = np.zeros(len(k), bool)
+        if not last and len(k):
+            stay = (t == t[-1]) & (DEN * n >= NUM * n[-1])
+            more = np.flatnonzero(stay)
+            if len(more) > LONG:
+                stay[more[:-LONG]] = False
+                cut |= t == t[-1]
+        self.cut = t[-1] if len(t) and cut[-1] else None
+        count[cut] = np.maximum(count[cut], FEW + 1)
+        done = ~stay & (count > FEW)
+        met = done & (best[:, 2] < LAST)
+        out.append((g1[met], g2[met], best[met, 0], best[met, 1]))
+        self.held = [c[stay] for c in (k, g1, g2, p, ord_)]
+        self.count, self.best = count[stay], best[stay]
+        a1, a2, b1, b2 = (np.concatenate(c) for c in zip(*out, strict=True))
+        none = np.zeros(done.sum(), np.int64)
+        mask = np.concatenate([np.zeros(len(b1), bool), np.ones(len(none), bool)])
+        return [pa.array(np.concatenate([a1, g1[done]])), pa.array(np.concatenate([a2, g2[done]])), pa.array(np.concatenate([b1, none]), mask=mask), pa.array(np.concatenate([b2, none]), mask=mask)]
+
+
+def _compare(batches):
+    window, held = _Window(), []
+
+    def block(last):
+        cols = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(5)] if held else [np.zeros(0, np.int64)] * 5
+        held.clear()
+        return pa.RecordBatch.from_arrays(window.pairs(cols, last), names=["a1", "a2", "b1", "b2"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= ROWS:
+            yield block(False)
+    yield block(True)
+
+
+def _bloom_places(a: np.ndarray, b: np.ndarray, bits: int) -> list[np.ndarray]:
+    x, y = _mix(a.view(np.uint64)), _mix(b.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+    return [((x + np.uint64(k) * y) >> np.uint64(64 - bits)).astype(np.int64) for k in (1, 2, 3)]
 
 
 def _places(bits: int):
@@ -215,16 +329,32 @@ def _places(bits: int):
     return make
 
 
-def _fetch(bloom, bits: int):
+def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bloom filter of two-column keys: 2**bits bits, packed, collected in blocks."""
+    words = map_batches(keys, _places(bits), "b long").groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("m"))
+    found = words.select(F.shiftright("w", 10).alias("block"), "w", "m").groupBy("block").agg(F.collect_list(F.struct("w", "m")).alias("x"))
+    held = np.zeros(max(1, (1 << bits) // 64), np.int64)
+    for row in found.toLocalIterator():  # 2**bits / 8 bytes at most
+        for w, m in row["x"]:
+            held[w] = m
+    return held.view(np.uint8)
+
+
+def _in_bloom(held: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    return np.all([held[p >> 3] >> (p & 7).astype(np.uint8) & 1 for p in _bloom_places(a, b, bits)], axis=0).astype(bool)
+
+
+def _fetch(docs, sets, bits: int):
     def make():
-        held, seen = bloom.value, set()
+        in_docs, in_sets, seen = docs.value, sets.value, set()
 
         def each(batch):
-            s = _Sets(batch.column(0), None, bits)
+            key = batch.column(0).to_numpy()
+            batch = batch.take(pa.array(np.flatnonzero(_in_bloom(in_docs, key, key, bits))))
+            s = _Sets(batch.column(1))
             g1, g2 = s.ids()
-            hit = np.all([held[p] for p in _bloom_places(g1, g2, bits)], axis=0)
             first = np.zeros(len(g1), bool)
-            for i in np.flatnonzero(hit).tolist():
+            for i in np.flatnonzero(_in_bloom(in_sets, g1, g2, bits)).tolist():
                 x = (int(g1[i]), int(g2[i]))
                 if x not in seen:
                     seen.add(x)
@@ -246,63 +376,55 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _tokens_of(own: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
-    """(g1, g2, tokens) of the sets in keys, fetched in a pass over the texts through a Bloom filter of 2**bits bits."""
+def _later(pairs: DataFrame, own: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(g1, g2) of the sets that are similar to the other, earlier set of a pair."""
     spark = own.sparkSession
-    held = np.zeros(1 << bits, bool)
-    words = map_batches(keys, _places(bits), "b long").groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("m"))
-    found = words.select(F.shiftright("w", 10).alias("block"), "w", "m").groupBy("block").agg(F.collect_list(F.struct("w", "m")).alias("x"))
-    for row in found.collect():  # 2**bits / 8 bytes at most
-        for w, m in row["x"]:
-            held[64 * w : 64 * w + 64] = np.unpackbits(np.array([m], np.int64).view(np.uint8), bitorder="little").astype(bool)
-    tokens = map_batches(own.select("text"), _fetch(spark.sparkContext.broadcast(held), bits), "g1 long, g2 long, tokens array<long>", SLICE)
-    return tokens.groupBy("g1", "g2").agg(F.first("tokens").alias("tokens"))
-
-
-def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS, bloom_bits: int = BLOOM_BITS) -> DataFrame:
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("g1"), F.col("a2").alias("g2")), F.struct(F.col("b1").alias("g1"), F.col("b2").alias("g2")))).alias("e")).select("e.g1", "e.g2").distinct()
+    ends = written(ends.join(firsts, ["g1", "g2"]), "line-ends")
+    bits = min(MOST_BLOOM_BITS, max(16, (8 * ends.count()).bit_length()))
+    docs, sets = (spark.sparkContext.broadcast(_bloom(k, bits)) for k in (ends.select(F.col("first.h").alias("x"), F.col("first.h").alias("y")), ends.select("g1", "g2")))
+    tokens = map_batches(own.select("h", "text"), _fetch(docs, sets, bits), "g1 long, g2 long, tokens array<long>", SLICE).groupBy("g1", "g2").agg(F.first("tokens").alias("tokens"))
+    tokens = written(ends.join(tokens, ["g1", "g2"]).select("g1", "g2", "first", "tokens"), "line-tokens")
+    side = lambda s: tokens.select(F.col("g1").alias(f"{s}1"), F.col("g2").alias(f"{s}2"), F.col("first").alias(f"{s}f"), F.col("tokens").alias(f"{s}t"))
+    both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).withColumn("i", F.size(F.array_intersect("at", "bt")))
+    later = F.when(F.col("af") > F.col("bf"), F.struct(F.col("a1").alias("g1"), F.col("a2").alias("g2"))).otherwise(F.struct(F.col("b1").alias("g1"), F.col("b2").alias("g2")))
+    out = written(both.where(f"{DEN} * i >= {NUM} * (size(at) + size(bt) - i)").select(later.alias("e")).select("e.g1", "e.g2").distinct(), "line-later")
+    dropped(ends, tokens)
+    docs.unpersist()
+    sets.unpersist()
+    return out
+
+
+def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, h, line): lines with words that stay; h is the hash of the text."""
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
     sketch = spark.sparkContext.broadcast(token_sketch(own, "text", sketch_bits))
+    lines = written(map_batches(own, _index(sketch, sketch_bits), LINES, SLICE), "line-sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "line")).alias("first")
-    sets = map_batches(own, _index(sketch, sketch_bits), LINES, SLICE).groupBy("g1", "g2").agg(first, F.max("n").alias("n"), F.max("parity").alias("parity"), F.first("prefix", ignorenulls=True).alias("prefix"))
-    # ids in the order of first occurrence, by range partitions
-    ordered = sets.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
-    sets = written(ordered, "line-sets")
-    del ordered
+    firsts = written(lines.groupBy("g1", "g2").agg(first), "line-firsts")
+    sketch.unpersist()
+
+    size = F.least(F.col("n"), F.lit(_LOW)).cast("long")
+    entries = lines.select("g1", "g2", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), size.alias("n"), F.explode("prefix").alias("x"))
+    entries = entries.select(F.expr("(x & ~16777215L) | n").alias("k"), "g1", "g2", F.expr("x & 16777215L").alias("p"), "ord")
+    dealt = entries.repartition(F.shiftright("k", 24)).sortWithinPartitions("k", "g1", "g2")
+    found = written(dealt.mapInArrow(_compare, PAIRS), "line-pairs")
     _release(spark)
-
-    item = F.explode("prefix").alias("x")
-    entries = sets.select("id", "n", "parity", item).select(F.shiftright("x", 24).alias("t"), "id", F.expr("shiftleft(CAST(n AS BIGINT), 24) | (x & 16777215)").alias("np"), "parity")
-
-    def passes(x: str, y: str) -> str:
-        """Length, positional and parity filters of two entries; o is the least overlap that a pair needs."""
-        n, m, p, q = f"shiftright({x}.np, 24)", f"shiftright({y}.np, 24)", f"({x}.np & 16777215)", f"({y}.np & 16777215)"
+    gone = _later(written(found.where("b1 IS NOT NULL").distinct(), "line-pairs"), own, firsts)
+    # sets with more partners than were emitted, if no emitted one settled them, meet all of their words' entries
+    open_ = written(found.where("b1 IS NULL").select(F.col("a1").alias("g1"), F.col("a2").alias("g2")).distinct().join(gone, ["g1", "g2"], "left_anti"), "line-open")
+    if not open_.isEmpty():
+        x, y = entries.join(open_, ["g1", "g2"], "left_semi").alias("x"), entries.alias("y")
+        n, m = "(x.k & 16777215L)", "(y.k & 16777215L)"
         need = f"{NUM} * ({n} + {m})"
-        return f"{DEN} * {n} >= {NUM} * {m} AND {DEN} * {m} >= {NUM} * {n} AND {NUM + DEN} * least({n} - {p}, {m} - {q}) >= {need} AND {NUM + DEN} * ({n} + {m} - bit_count({x}.parity ^ {y}.parity)) >= 2 * {need}"
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        """Ids of sets whose pair (id, o) with an earlier one holds."""
-        named = sets.select("id", "g1", "g2")
-        ends = pairs.select(F.explode(F.array("id", "o")).alias("id")).distinct().join(named, "id")
-        tokens = _tokens_of(own, ends.select("g1", "g2"), bloom_bits)
-        tokens = written(ends.join(tokens, ["g1", "g2"]).select("id", "tokens"), "line-tokens")
-        other = tokens.select(F.col("id").alias("o"), F.col("tokens").alias("other"))
-        both = pairs.join(tokens, "id").join(other, "o").withColumn("i", F.size(F.array_intersect("tokens", "other")))
-        return written(both.where(f"{DEN} * i >= {NUM} * (size(tokens) + size(other) - i)").select("id").distinct(), "line-settled")
-
-    heads = entries.groupBy("t").agg(F.min("id").alias("id"), F.min_by("np", "id").alias("np"), F.min_by("parity", "id").alias("parity"), F.count("*").alias("c")).where("c > 1").drop("c")
-    x, y = entries.alias("x"), heads.alias("y")
-    star = x.join(y, F.expr(f"x.t = y.t AND x.id > y.id AND {passes('x', 'y')}")).select("x.id", F.col("y.id").alias("o")).distinct()
-    settled = similar(written(star, "line-pairs"))
-    _release(spark)
-    # sets that no head settles meet all earlier ones under their tokens
-    x, y = entries.join(settled, "id", "left_anti").alias("x"), entries.alias("y")
-    rest = x.join(y, F.expr(f"x.t = y.t AND x.id > y.id AND {passes('x', 'y')}")).select("x.id", F.col("y.id").alias("o")).distinct()
-    late = similar(written(rest, "line-pairs"))
+        ok = f"{DEN} * {n} >= {NUM} * {m} AND {DEN} * {m} >= {NUM} * {n} AND {NUM + DEN} * least({n} - x.p, {m} - y.p) >= {need} AND {NUM + DEN} * ({n} + {m} - bit_count(x.g2 ^ y.g2)) >= 2 * {need}"
+        ok = f"shiftright(x.k, 24) = shiftright(y.k, 24) AND x.ord >= y.ord AND NOT (x.g1 = y.g1 AND x.g2 = y.g2) AND (({n} = 16777215L AND {m} = 16777215L) OR ({ok}))"
+        rest = x.join(y, F.expr(ok)).select(F.col("x.g1").alias("a1"), F.col("x.g2").alias("a2"), F.col("y.g1").alias("b1"), F.col("y.g2").alias("b2")).distinct()
+        gone = gone.unionByName(_later(written(rest, "line-pairs"), own, firsts)).distinct()
+    dropped(lines, found)
     _release(spark)
-    gone = settled.unionByName(late)
-    return sets.join(gone, "id", "left_anti").select("first.doc_id", "first.h", "first.line")
+    return firsts.join(gone, ["g1", "g2"], "left_anti").select("first.doc_id", "first.h", "first.line")
 
 
 def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
@@ -310,7 +432,10 @@ def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
         if t is None:
             return None
         stay = set() if keep is None else set(keep)
-        return "\n".join([x for k, x in enumerate(t.split("\n")) if k in stay or not x.encode("utf-8", "surrogatepass").split()])
+        split = t.split("\n")
+        if len(stay) == len(split):
+            return t
+        return "\n".join([x for k, x in enumerate(split) if k in stay or not x.encode("utf-8", "surrogatepass").split()])
 
     return pd.Series([one(t, k) for t, k in zip(text, lines, strict=True)], dtype=object)
 
@@ -318,10 +443,15 @@ def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with later matches of lines removed from text, and n_chars, where it exists, set anew."""
     p = fresh(docs, "__ld_")
-    lines = kept_lines(docs, doc_id, text).groupBy("doc_id", "h").agg(F.collect_list("line").alias(f"{p}lines")).withColumnsRenamed({"doc_id": f"{p}id", "h": f"{p}h"})
-    keyed = docs.withColumn(f"{p}key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(lines, keyed[doc_id].cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}key") == F.col(f"{p}h")), "left")
-    row = F.row_number().over(Window.partitionBy(doc_id, f"{p}key").orderBy(f"{p}h"))
+    # keys without nulls, so that join and window share one dealing of the texts
+    keys = [f"{p}id", f"{p}none", f"{p}key"]
+
+    def keyed(df: DataFrame, ident: str, key) -> DataFrame:
+        return df.withColumns({keys[0]: F.coalesce(F.col(ident).cast("long"), F.lit(0)), keys[1]: F.col(ident).cast("long").isNull(), keys[2]: key})
+
+    lines = keyed(kept_lines(docs, doc_id, text), "doc_id", F.col("h")).groupBy(*keys).agg(F.collect_list("line").alias(f"{p}lines"))
+    joined = keyed(docs, doc_id, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(lines, keys, "left")
+    row = F.row_number().over(Window.partitionBy(*keys).orderBy(keys[2]))
     joined = joined.withColumn(f"{p}stay", F.when(row == 1, F.col(f"{p}lines")))
     out = joined.withColumn(text, F.pandas_udf(_without, "string")(F.col(text), F.col(f"{p}stay")))
     if "n_chars" in docs.columns:

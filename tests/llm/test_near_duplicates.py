@@ -3,6 +3,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from shelfgraph.llm import line_dedup, minhash, simhash
 
 
@@ -140,3 +142,42 @@ def test_near_lines_go_in_document_order(spark):
     df = spark.createDataFrame([(a, b, None, None, None) for a, b, _ in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
     assert got == {d: t for (d, _), t in brute_lines(rows).items()}
+
+
+def test_no_pair_of_entries_is_lost(monkeypatch):
+    """Every pair that passes the filters is emitted, or its later set is handed on; blocks, long windows and many partners included."""
+    monkeypatch.setattr(line_dedup, "LONG", 12)
+    rnd = np.random.default_rng(7)
+    rows = set()
+    for word in range(60):
+        for _ in range(int(rnd.integers(1, 40))):
+            rows.add((int(word), int(rnd.integers(4, 12)), int(rnd.integers(0, 50)), int(rnd.integers(0, 2)), int(rnd.integers(0, 30))))
+    rows = sorted(((w << 24) | n, g, g * 3 + (n << 8), p, o) for w, n, g, p, o in rows)
+    cols = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+    for size in (7, 50, 10_000):
+        window, pairs, left = line_dedup._Window(), set(), set()
+        for at in range(0, len(rows), size):
+            for a1, a2, b1, b2 in zip(*(c.to_pylist() for c in window.pairs([c[at : at + size] for c in cols], at + size >= len(rows))), strict=True):
+                if b1 is None:
+                    left.add((a1, a2))
+                else:
+                    pairs |= {((a1, a2), (b1, b2)), ((b1, b2), (a1, a2))}
+        least = {}
+        for k, g1, g2, p, o in rows:
+            least[k, g1, g2] = (min(o, least.get((k, g1, g2), (99,))[0]), p)
+        entries = [(k >> 24, k & 0xFFFFFF, (g1, g2), p, o) for (k, g1, g2), (o, p) in least.items()]
+        checked = 0
+        for t, n, x, p, o in entries:
+            for u, m, y, q, r in entries:
+                if t == u and x != y and o >= r and line_dedup.passes(*(np.array([v]) for v in (n, m, p, q, (x[1] ^ y[1]).bit_count())))[0]:
+                    checked += 1
+                    assert (x, y) in pairs or x in left or (o == r and y in left)
+        assert checked > 100 and len(left) < len(least)
+
+
+def test_word_hashes_tell_words_apart():
+    words = [b"a", b"b", b"ab", b"ba", b"abcdefgh", b"abcdefgh\x00", b"abcdefghi", b"abcdefghabcdefgh", b"x" * 1024, b"x" * 1025, b"x" * 1026, "é".encode()]
+    h, start = line_dedup._hashes(b"\n" + b" ".join(words) + b"\n")
+    assert len(set(h.tolist())) == len(words) == len(start)
+    again, _ = line_dedup._hashes(b"\n" + b"\t".join(w.upper() for w in words[::-1]) + b"\r\n")
+    assert again[::-1].tolist()[:-1] == h.tolist()[:-1]
