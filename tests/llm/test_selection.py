@@ -67,6 +67,58 @@ def test_mix_meets_targets(spark, docs, rows, empty):
     assert out.count() == sum(r.copies if r.size else 1 for r in got)
 
 
+def _sources(spark, n=6000):
+    import random
+
+    rnd = random.Random(9)
+    rows = [(i, " ".join([f"w{i}"] * int(rnd.lognormvariate(3, 1) + 1)), f"s{rnd.choice([0, 0, 0, 0, 1, 2, 3])}") for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_mix_takes_a_fixed_number_at_the_stated_odds(spark):
+    from pyspark.sql import functions as F
+
+    docs = _sources(spark).select("doc_id", "source", F.size(F.split("text", " ")).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
+    classes = docs.withColumn("class", F.floor(F.log2("size"))).groupBy("source", "class").agg(F.sum("size").alias("words"))
+    share = {"s0": 0.3, "s1": 0.8, "s2": 0.05, "s3": 0.0}
+    total = {r[0]: r[1] for r in docs.groupBy("source").agg(F.sum("size")).collect()}
+    rest = F.create_map(*[F.lit(x) for s in share for x in (s, share[s] * total[s])])[F.col("source")]
+    f = {(r["source"], r["class"]): r["f"] for r in mixing.inclusion(classes.withColumn("rest", rest)).collect()}
+    words = {(r["source"], r["class"]): r["words"] for r in classes.collect()}
+    for s in share:  # expected words are the rest, by an independent bisection of the scale
+        lo, hi = 0.0, 1e9
+        for _ in range(200):
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(min(1, c * 2 ** (-0.25 * k)) * w for (t, k), w in words.items() if t == s) < share[s] * total[s] else (lo, c)
+        assert all(abs(f[t, k] - min(1, lo * 2 ** (-0.25 * k))) < 1e-6 for t, k in words if t == s)
+    chance = F.create_map(*[x for (s, k), v in f.items() for x in (F.lit(f"{s}/{k}"), F.lit(v))])[F.concat_ws("/", "source", F.floor(F.log2("size")).cast("string"))]
+    u = F.when(F.lit(True), (F.pmod(F.xxhash64("doc_id", "seed"), F.lit(1 << 40)) + 0.5) / float(1 << 40))
+    taken, rounds, expect = {}, 12, round(sum(f[r["source"], int(np.log2(r["size"]))] for r in docs.collect()))
+    for seed in range(rounds):
+        ranked = docs.withColumns({"f": chance, "seed": F.lit(seed)}).withColumn("rank", F.when(F.col("f") > 0, mixing.pareto_rank(u, F.col("f"))).otherwise(1.0))
+        got = mixing.pareto_sample(ranked).where("taken").groupBy("source", F.floor(F.log2("size"))).count().collect()
+        assert sum(r[2] for r in got) == expect
+        for s, k, n in got:
+            taken[s, k] = taken.get((s, k), 0) + n
+    for (s, k), n in {(r[0], r[1]): r[2] for r in docs.groupBy("source", F.floor(F.log2("size"))).count().collect()}.items():
+        p, tries = f[s, k], n * rounds
+        assert abs(taken.get((s, k), 0) - p * tries) <= 4.5 * (tries * p * (1 - p)) ** 0.5 + 1
+
+
+def test_mix_depends_on_the_odds_and_ends_near_its_targets(spark):
+    from pyspark.sql import functions as F
+
+    docs = _sources(spark)
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    flat = {r.doc_id: r.copies for r in mixing.mix(docs, rank=F.col("u")).collect()}
+    assert sum(flat[k] != got[k].copies for k in got) > 100
+    for s in ("s0", "s1", "s2", "s3"):
+        mine = [r for r in got.values() if r.source == s]
+        assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) <= 0.005 * mine[0].target
+        low = int(mine[0].target // mine[0].source_size)
+        assert {r.copies for r in mine} <= {low, low + 1} and max(r.copies for r in mine) <= 3
+
+
 def auc(y, s):
     y, s = np.array(y), np.array(s)
     rank = np.argsort(np.argsort(s)) + 1
