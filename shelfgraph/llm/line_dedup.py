@@ -14,7 +14,8 @@ with those of its word inside the size window, LONG of them, and emits the pairs
 filter and a parity filter (64 parities of a set's words differ in at most as many bits as the sets in words). An
 entry emits at most FEW pairs and the one with its earliest partner, so a group of near copies costs a few rows a
 member. Sets with more partners, or with a window beyond LONG, are remembered; those among them that no emitted
-pair settles are joined with all entries of their words, so that no pair is lost. Words of pairs are fetched in
+pair settles are joined with all entries of their words, so that no pair is lost (only entries that pass a Bloom
+filter of these words are dealt again). Words of pairs are fetched in
 a pass over the documents that hold them, found through Bloom filters sized by their number, and Jaccard is
 counted on 64-bit hashes (of a word's bytes, eight at a time, each step mixed; words over a kilobyte by BLAKE2b).
 
@@ -46,6 +47,7 @@ SLICE = 4 << 20  # bytes of text at once
 FEW = 4
 LONG = 1024
 ROWS = 1 << 18  # entries compared at once
+MOST_SENT = 200_000  # rows of 16 bytes
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = bytes(int(c in b"\t\n\v\f\r ") for c in range(256))
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -329,14 +331,18 @@ def _places(bits: int):
     return make
 
 
+def _pack(key, rows):
+    held = np.zeros(1024, np.int64)
+    held[rows["w"].to_numpy() & 1023] = rows["m"]
+    return pd.DataFrame({"block": [key[0]], "bits": [held.tobytes()]})
+
+
 def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bloom filter of two-column keys: 2**bits bits, packed, collected in blocks."""
+    """Bloom filter of two-column keys: 2**bits bits, packed, collected in blocks of 8 KB."""
     words = map_batches(keys, _places(bits), "b long").groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("m"))
-    found = words.select(F.shiftright("w", 10).alias("block"), "w", "m").groupBy("block").agg(F.collect_list(F.struct("w", "m")).alias("x"))
-    held = np.zeros(max(1, (1 << bits) // 64), np.int64)
-    for row in found.toLocalIterator():  # 2**bits / 8 bytes at most
-        for w, m in row["x"]:
-            held[w] = m
+    held = np.zeros((1 << bits) // 64, np.int64)
+    for row in words.groupBy(F.shiftright("w", 10).alias("block")).applyInPandas(_pack, "block long, bits binary").collect():  # 2**bits / 8 bytes at most
+        held[row["block"] * 1024 : row["block"] * 1024 + 1024] = np.frombuffer(row["bits"], np.int64)
     return held.view(np.uint8)
 
 
@@ -395,6 +401,39 @@ def _later(pairs: DataFrame, own: DataFrame, firsts: DataFrame) -> DataFrame:
     return out
 
 
+def _entries(lines: DataFrame) -> DataFrame:
+    """(k, g1, g2, p, ord): a row for each word of a prefix; k holds the word's 40 bits and the set's size."""
+    size = F.least(F.col("n"), F.lit(_LOW)).cast("long")
+    each = lines.select("g1", "g2", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), size.alias("n"), F.explode("prefix").alias("x"))
+    return each.select(F.expr("(x & ~16777215L) | n").alias("k"), "g1", "g2", F.expr("x & 16777215L").alias("p"), "ord")
+
+
+def _word(k: str):
+    return F.shiftright(k, 24)
+
+
+def _under(words, bits: int):
+    """For map_batches: LINES with only those items of a prefix whose word may be among words."""
+
+    def make():
+        held = words.value
+
+        def each(batch):
+            prefix = batch.column(6)
+            items = prefix.flatten().to_numpy()
+            word = items >> 24
+            stay = _in_bloom(held, word, word, bits)
+            size = np.diff(prefix.offsets.to_numpy())
+            count = np.bincount(np.repeat(np.arange(len(size)), size)[stay], minlength=len(size))
+            some = np.flatnonzero(count)
+            offsets = np.concatenate([[0], np.cumsum(count[some])]).astype(np.int32)
+            return [*(batch.column(c).take(pa.array(some)) for c in range(6)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(items[stay]))]
+
+        return each
+
+    return make
+
+
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, h, line): lines with words that stay; h is the hash of the text."""
     spark = docs.sparkSession
@@ -405,23 +444,28 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sket
     firsts = written(lines.groupBy("g1", "g2").agg(first), "line-firsts")
     sketch.unpersist()
 
-    size = F.least(F.col("n"), F.lit(_LOW)).cast("long")
-    entries = lines.select("g1", "g2", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), size.alias("n"), F.explode("prefix").alias("x"))
-    entries = entries.select(F.expr("(x & ~16777215L) | n").alias("k"), "g1", "g2", F.expr("x & 16777215L").alias("p"), "ord")
-    dealt = entries.repartition(F.shiftright("k", 24)).sortWithinPartitions("k", "g1", "g2")
+    dealt = _entries(lines).repartition(_word("k")).sortWithinPartitions("k", "g1", "g2")
     found = written(dealt.mapInArrow(_compare, PAIRS), "line-pairs")
     _release(spark)
     gone = _later(written(found.where("b1 IS NOT NULL").distinct(), "line-pairs"), own, firsts)
     # sets with more partners than were emitted, if no emitted one settled them, meet all of their words' entries
     open_ = written(found.where("b1 IS NULL").select(F.col("a1").alias("g1"), F.col("a2").alias("g2")).distinct().join(gone, ["g1", "g2"], "left_anti"), "line-open")
-    if not open_.isEmpty():
-        x, y = entries.join(open_, ["g1", "g2"], "left_semi").alias("x"), entries.alias("y")
+    n_open = open_.count()
+    if n_open:
+        few = (lambda df: F.broadcast(df)) if n_open <= MOST_SENT else (lambda df: df)
+        x = written(_entries(lines.join(few(open_), ["g1", "g2"], "left_semi")), "line-open")
+        words = x.select(_word("k").alias("t")).distinct()
+        bits = min(MOST_BLOOM_BITS, max(16, (8 * words.count()).bit_length()))
+        known = spark.sparkContext.broadcast(_bloom(words.select("t", F.col("t").alias("u")), bits))
+        # of all entries only those under these words are dealt
+        y = _entries(map_batches(lines.where("prefix IS NOT NULL"), _under(known, bits), LINES, SLICE))
         n, m = "(x.k & 16777215L)", "(y.k & 16777215L)"
         need = f"{NUM} * ({n} + {m})"
         ok = f"{DEN} * {n} >= {NUM} * {m} AND {DEN} * {m} >= {NUM} * {n} AND {NUM + DEN} * least({n} - x.p, {m} - y.p) >= {need} AND {NUM + DEN} * ({n} + {m} - bit_count(x.g2 ^ y.g2)) >= 2 * {need}"
         ok = f"shiftright(x.k, 24) = shiftright(y.k, 24) AND x.ord >= y.ord AND NOT (x.g1 = y.g1 AND x.g2 = y.g2) AND (({n} = 16777215L AND {m} = 16777215L) OR ({ok}))"
-        rest = x.join(y, F.expr(ok)).select(F.col("x.g1").alias("a1"), F.col("x.g2").alias("a2"), F.col("y.g1").alias("b1"), F.col("y.g2").alias("b2")).distinct()
+        rest = x.alias("x").join(y.alias("y"), F.expr(ok)).select(F.col("x.g1").alias("a1"), F.col("x.g2").alias("a2"), F.col("y.g1").alias("b1"), F.col("y.g2").alias("b2")).distinct()
         gone = gone.unionByName(_later(written(rest, "line-pairs"), own, firsts)).distinct()
+        known.unpersist()
     dropped(lines, found)
     _release(spark)
     return firsts.join(gone, ["g1", "g2"], "left_anti").select("first.doc_id", "first.h", "first.line")
