@@ -35,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfgraph.llm.shared import fresh, map_batches, sliced
+from shelfgraph.llm.shared import fresh, map_batches, release, sliced
 from shelfgraph.session import dropped, written
 
 NUM, DEN = 4, 5  # Jaccard >= NUM / DEN
 SKETCH_BITS = 24
 MOST_BLOOM_BITS = 28
 BLOCK = 1 << 16
-SEEN_SETS = 300_000
-SLICE = 4 << 20  # bytes of text at once
+SEEN_SETS = 150_000
+SLICE = 2 << 20  # bytes of text at once
 FEW = 4
 LONG = 1024
 ROWS = 1 << 18  # entries compared at once
@@ -148,6 +148,8 @@ def _count_cells(bits: int):
             if len(at):
                 cells = np.concatenate([at.astype("<u2").view(np.uint8), part[at].astype("<u4").view(np.uint8)]).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cells], pa.binary())], names=["block", "cells"])
+        del total, seen
+        release()
 
     return run
 
@@ -314,6 +316,8 @@ def _compare(batches):
         if sum(b.num_rows for b in held) >= ROWS:
             yield block(False)
     yield block(True)
+    del window
+    release()
 
 
 def _bloom_places(a: np.ndarray, b: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -471,19 +475,6 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sket
     return firsts.join(gone, ["g1", "g2"], "left_anti").select("first.doc_id", "first.h", "first.line")
 
 
-def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
-    def one(t, keep):
-        if t is None:
-            return None
-        stay = set() if keep is None else set(keep)
-        split = t.split("\n")
-        if len(stay) == len(split):
-            return t
-        return "\n".join([x for k, x in enumerate(split) if k in stay or not x.encode("utf-8", "surrogatepass").split()])
-
-    return pd.Series([one(t, k) for t, k in zip(text, lines, strict=True)], dtype=object)
-
-
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with later matches of lines removed from text, and n_chars, where it exists, set anew."""
     p = fresh(docs, "__ld_")
@@ -493,11 +484,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def keyed(df: DataFrame, ident: str, key) -> DataFrame:
         return df.withColumns({keys[0]: F.coalesce(F.col(ident).cast("long"), F.lit(0)), keys[1]: F.col(ident).cast("long").isNull(), keys[2]: key})
 
-    lines = keyed(kept_lines(docs, doc_id, text), "doc_id", F.col("h")).groupBy(*keys).agg(F.collect_list("line").alias(f"{p}lines"))
-    joined = keyed(docs, doc_id, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(lines, keys, "left")
-    row = F.row_number().over(Window.partitionBy(*keys).orderBy(keys[2]))
-    joined = joined.withColumn(f"{p}stay", F.when(row == 1, F.col(f"{p}lines")))
-    out = joined.withColumn(text, F.pandas_udf(_without, "string")(F.col(text), F.col(f"{p}stay")))
+    stay = keyed(kept_lines(docs, doc_id, text), "doc_id", F.col("h")).groupBy(*keys).agg(F.collect_list("line").alias(f"{p}stay"))
+    # split before the join, so that each line is reached by its number
+    each = keyed(docs, doc_id, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(text, F.split(text, "\n"))
+    joined = each.join(stay, keys, "left").withColumn(f"{p}row", F.row_number().over(Window.partitionBy(*keys).orderBy(keys[2])))
+    first = f"CASE WHEN {p}row = 1 AND {p}stay IS NOT NULL THEN {p}stay ELSE CAST(array() AS ARRAY<INT>) END"
+    blank = f"filter(sequence(0, size(`{text}`) - 1), i -> NOT get(`{text}`, i) RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
+    kept = f"transform(array_sort(concat({first}, {blank})), i -> get(`{text}`, i))"
+    out = joined.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(F.expr(kept), "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

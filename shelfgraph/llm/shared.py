@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,10 +37,22 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
             for part in sliced(batch, most):
                 cols = each(part)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+        del each
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives free memory back to the system: a Python worker outlives its task and idles beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def sliced(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """batch in slices of about `most` bytes, one row at least, so that long texts don't multiply memory."""
     n = batch.num_rows
