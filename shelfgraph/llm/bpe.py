@@ -10,7 +10,8 @@ costs a few array operations for thousands of words; very long words get trees a
 Ids equal those of the tokenizers library for the same file: special tokens are cut out of the raw text, the
 rest is normalised and split as the file's normalizer and pre_tokenizer say. Characters on whose class
 Unicode versions disagree go through the library's own normalizer and pre_tokenizer for the split; the merges
-are always made here. A memo of bounded size keeps the ids of words already seen by the task.
+are always made here. A memo of bounded size keeps the ids of words already seen by the task; it is freed when the
+task ends. Decoding starts from ids alone: names are taken from the file's table by id and joined.
 
 Defined results: a null text is encoded as an empty one; an empty text has no ids and decodes to an empty
 text; texts of any length are encoded whole; repeated rows each get their row; an empty table gives none.
@@ -26,12 +27,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 NO_RANK = np.int64(1 << 40)
 #: Characters outside these ranges may be classed differently by Unicode versions.
 KNOWN = re.compile("[^\\u0000-\\u052f\\u1e00-\\u1fff\\u2000-\\u2064\\u20a0-\\u20bf\\u3000-\\u312e\\u4e00-\\u9fa5\\uac00-\\ud7a3]")
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -56,7 +58,8 @@ class MergeTable:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.size = max(self.strings) + 1
-        self.names = np.array([self.strings.get(i, "") for i in range(self.size)], object)
+        self.names = pa.array([self.strings.get(i) for i in range(self.size)], pa.string())
+        self.known = np.array([i in self.strings for i in range(self.size)])
         keys, into = [], []
         for pair in model["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -133,38 +136,36 @@ def merge_words(symbols: np.ndarray, lengths: np.ndarray, table: MergeTable) ->
     return sym[:, :leaves]
 
 
-def encode_words(words: list[bytes], table: MergeTable, block: int = 1 << 20) -> tuple[list[bytes], list[str]]:
-    """Ids (little-endian unsigned 32-bit) and space-joined symbols of each word (UTF-8 bytes, not empty).
+def encode_words(words: list[bytes], table: MergeTable, block: int = 1 << 18) -> list[bytes]:
+    """Ids (little-endian unsigned 32-bit) of each word (UTF-8 bytes, not empty).
 
     Words of like length run together; block bounds the symbols held at once.
     """
     ids_of: list = [b""] * len(words)
-    text_of: list = [""] * len(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
+    sorted_ = lengths[order]
     start = 0
     while start < len(order):
-        width = int(lengths[order[start]])
+        width = int(sorted_[start])
         limit = 1 << max(1, (width - 1).bit_length())
-        stop = int(np.searchsorted(lengths[order], limit, side="right"))
+        stop = int(np.searchsorted(sorted_, limit, side="right"))
         stop = min(stop, start + max(1, block // limit))
-        rows = order[start:stop]
-        ls = lengths[rows]
-        top = int(ls.max())
+        rows, ls = order[start:stop], sorted_[start:stop]
+        top = int(ls[-1])
         flat = np.frombuffer(b"".join([words[i] for i in rows]), np.uint8)
         symbols = np.full((len(rows), top), -1, np.int64)
         symbols[np.arange(top)[None, :] < ls[:, None]] = table.byte_id[flat]
         symbols[np.arange(len(rows)), ls - 1] = table.last_id[flat[np.cumsum(ls) - 1]]
         ids = merge_words(symbols, ls, table)
         keep = ids >= 0
-        left = ids[keep]
-        raw, names = left.astype("<u4").tobytes(), table.names[left].tolist()
+        raw = ids[keep].astype("<u4").tobytes()
         at = 0
-        for i, end in zip(rows.tolist(), np.cumsum(keep.sum(axis=1)).tolist(), strict=True):
-            ids_of[i], text_of[i] = raw[4 * at : 4 * end], " ".join(names[at:end])
+        for i, end in zip(rows.tolist(), (4 * np.cumsum(keep.sum(axis=1))).tolist(), strict=True):
+            ids_of[i] = raw[at:end]
             at = end
         start = stop
-    return ids_of, text_of
+    return ids_of
 
 
 #: How word_bpe files split text after normalisation; white space is dropped.
@@ -175,9 +176,8 @@ class Codec:
     """Encodes whole texts to ids and decodes ids to text, for a tokenizer file with word ends."""
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
-        self.path, self.table, self.memo_words = path, MergeTable(path), memo_words
+        self.path, self.table, self.memo_words = path, merge_table(path), memo_words
         self.ids: dict = {}
-        self.texts: dict = {}
         self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.table.special), key=len, reverse=True)) + ")") if self.table.special else None
 
     @lru_cache(maxsize=1)  # noqa: B019
@@ -213,65 +213,80 @@ class Codec:
         """Memoises units: strings that WORDS splits further, or bytes of one word."""
         split = [(u,) if isinstance(u, bytes) else [w.encode() for w in WORDS.findall(u)] for u in units]
         words = list({w for ws in split for w in ws})
-        raw, text = (dict(zip(words, x, strict=True)) for x in encode_words(words, self.table))
+        raw = dict(zip(words, encode_words(words, self.table), strict=True))
         for u, ws in zip(units, split, strict=True):
-            if len(ws) == 1:
-                self.ids[u], self.texts[u] = raw[ws[0]], text[ws[0]]
-            else:
-                self.ids[u], self.texts[u] = b"".join([raw[w] for w in ws]), " ".join([text[w] for w in ws])
+            self.ids[u] = raw[ws[0]] if len(ws) == 1 else b"".join([raw[w] for w in ws])
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [self._pieces(t or "") for t in texts]
         if len(self.ids) > self.memo_words:
-            self.ids, self.texts = {}, {}
-        for s, i in self.table.special.items():
-            self.ids[(i,)], self.texts[(i,)] = np.array([i], "<u4").tobytes(), s
+            self.ids = {}
+        for i in self.table.special.values():
+            self.ids[(i,)] = np.array([i], "<u4").tobytes()
         new = list(set().union(*pieces) - self.ids.keys())
-        for at in range(0, len(new), 200_000):
-            self._learn(new[at : at + 200_000])
-        ids, strings = self.ids.__getitem__, self.texts.__getitem__
-        return [(b"".join(map(ids, ps)), " ".join(map(strings, ps))) for ps in pieces]
+        for at in range(0, len(new), 50_000):
+            self._learn(new[at : at + 50_000])
+        ids = self.ids.__getitem__
+        return [b"".join(map(ids, ps)) for ps in pieces]
+
+    def decode_batch(self, ids: pa.ListArray) -> pa.StringArray:
+        """Texts of lists of ids: names joined by a space, as a file without a decoder says; unknown ids are skipped."""
+        flat, offsets = ids.flatten().to_numpy(), ids.offsets.to_numpy()
+        flat, offsets = flat.astype(np.int64), offsets - offsets[0]
+        known = (flat >= 0) & (flat < self.table.size)
+        known[known] = self.table.known[flat[known]]
+        if not known.all():
+            offsets = np.concatenate([[0], np.cumsum(known)])[offsets].astype(np.int32)
+            flat = flat[known]
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.table.names.take(pa.array(flat))), " ")
 
     def decode(self, ids) -> str:
-        """Tokens joined by a space, as a file without a decoder says; unknown ids are skipped."""
-        return " ".join(self.table.strings[int(i)] for i in ids if int(i) in self.table.strings)
+        """The text of one list of ids."""
+        return self.decode_batch(pa.array([list(ids)], pa.list_(pa.int64())))[0].as_py()
+
+
+def id_lists(raw: list[bytes]) -> pa.ListArray:
+    """Lists of ids from their little-endian unsigned 32-bit integers."""
+    ends = np.cumsum([len(a) // 4 for a in raw], dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
+def _sha256(parts) -> list[str]:
+    return [hashlib.sha256(b).hexdigest() for b in parts]
 
 
 @lru_cache(maxsize=1)
-def codec(path: str, memo_words: int = MEMO_WORDS) -> Codec:
-    return Codec(path, memo_words)
+def merge_table(path: str) -> MergeTable:
+    return MergeTable(path)
 
 
 def digests(path: str):
-    """For map_batches: (id, text) to (id, n_tokens, ids_sha256, decoded_sha256)."""
+    """For map_batches: (id, text) to (id, n_tokens, ids_sha256, decoded_sha256); the text is decoded from the ids."""
 
     def make():
-        own = codec(path)
+        own = Codec(path)
 
         def each(batch):
-            got = own.encode_batch(batch.column(1).to_pylist())
-            sha = lambda b: hashlib.sha256(b).hexdigest()
-            return [batch.column(0), [len(a) // 4 for a, _ in got], [sha(a) for a, _ in got], [sha(t.encode()) for _, t in got]]
+            raw = own.encode_batch(batch.column(1).to_pylist())
+            decoded = own.decode_batch(id_lists(raw))
+            return [batch.column(0), [len(a) // 4 for a in raw], _sha256(raw), _sha256(decoded.cast(pa.binary()).to_pylist())]
 
         return each
 
     return make
 
 
-def encoded_rows(path: str, memo_words: int = 100_000):
-    """For map_batches: (..., text) to the columns before the text, ids and decoded text. The memo is smaller than where digests alone are held."""
+def encoded_rows(path: str, memo_words: int = MEMO_WORDS):
+    """For map_batches: (..., text) to the columns before the text, ids and the text decoded from them."""
 
     def make():
-        own = codec(path, memo_words)
+        own = Codec(path, memo_words)
 
         def each(batch):
             k = batch.num_columns - 1
-            got = own.encode_batch(batch.column(k).to_pylist())
-            ends = np.cumsum([len(a) // 4 for a, _ in got], dtype=np.int64)
-            flat = pa.array(np.frombuffer(b"".join([a for a, _ in got]), "<u4").astype(np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
-            return [*(batch.column(i) for i in range(k)), ids, [t for _, t in got]]
+            ids = id_lists(own.encode_batch(batch.column(k).to_pylist()))
+            return [*(batch.column(i) for i in range(k)), ids, own.decode_batch(ids)]
 
         return each
 
