@@ -6,9 +6,9 @@ number of tokens that stand before a document in its file, so a document's globa
 (a sum over one small row a file) plus `before`. Stripes are read in parallel by Spark's ORC reader.
 
 Ids come from the tokenizers library: a text is cut at special tokens and at spaces that begin a word (where
-a byte-level file always splits), and the library's BPE model encodes each distinct piece; a memo of bounded
-size keeps pieces already encoded by the task. Texts with characters on whose class Unicode versions
-disagree are encoded by the library whole.
+a byte-level file always splits), and the library's BPE model encodes each distinct piece; a memo of two
+generations of bounded size keeps pieces already encoded by the task. Texts with characters on whose class Unicode
+versions disagree are encoded by the library whole.
 
 Defined results: a null text is encoded as an empty one and holds the end id alone; null document ids sort
 first; rows with equal ids stay in one file, ordered by a hash of their text; long texts are encoded whole;
@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfgraph.llm.bpe import KNOWN, byte_alphabet
+from shelfgraph.llm.bpe import KNOWN, byte_alphabet, id_lists
 from shelfgraph.llm.shared import map_batches
 from shelfgraph.session import shared_path
 
@@ -36,7 +36,30 @@ END_ID = 0
 FORMAT = "doc_id long, n_tokens long, before long, ids array<int>"
 #: How byte-level files split text.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-MEMO_PIECES = 500_000
+MEMO_PIECES = 200_000
+
+
+class _Loose(Exception):
+    """A space before white space or the end doesn't begin a word."""
+
+
+class _Memo(dict):
+    """Values by key, made where they lack. Two generations: once `most` keys are held, those not asked for again go."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
+        return out
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
 
 
 class ByteEncoder:
@@ -46,14 +69,13 @@ class ByteEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model, self.memo_pieces = self.library.model, memo_pieces
+        self.model = self.library.model
         special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = {s: np.array([self.library.token_to_id(s)], "<u4").tobytes() for s in special}
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.space = self.alphabet[32]
-        self.memo: dict = {}
-        self.words: dict[str, bytes] = {}
+        self.words, self.units = _Memo(self._pretoken, memo_pieces), _Memo(self._unit, memo_pieces)
 
     def _pretoken(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():
@@ -62,78 +84,43 @@ class ByteEncoder:
             plain = word.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
 
-    def _learn(self, units: set) -> None:
-        """A string follows a space; a tuple holds text as it stands."""
-        words, memo, pretoken = self.words, self.memo, self._pretoken
-        if len(words) > self.memo_pieces // 2:
-            words.clear()
-        for u in units:
-            if isinstance(u, str) and u.isalpha():
-                split = [" " + u]
-            else:
-                split = BYTE_LEVEL.findall(u[0] if isinstance(u, tuple) else " " + u)
-            out = []
-            for w in split:
-                raw = words.get(w)
-                if raw is None:
-                    raw = words[w] = pretoken(w)
-                out.append(raw)
-            memo[u] = out[0] if len(out) == 1 else b"".join(out)
-
-    def _pieces(self, text: str) -> list:
-        out: list = []
+    def _unit(self, unit: str) -> bytes:
+        """What follows a space up to the next."""
+        if unit.isalpha():
+            return self.words[" " + unit]
+        if not unit or unit[0].isspace():
+            raise _Loose
+        return self._text(" " + unit)
+
+    def _text(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, BYTE_LEVEL.findall(text)))
+
+    def _encode(self, text: str) -> bytes:
+        out = []
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                out.append((part, "special"))
+                out.append(self.special[part])
             elif part and KNOWN.search(part):
-                out.append((part, "library"))
+                out.append(np.array(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
             elif part:
                 first, *rest = part.split(" ")
-                out.append((first,))
-                out += rest
-        return out
+                try:
+                    out += [self._text(first), *map(self.units.__getitem__, rest)]
+                except _Loose:
+                    out.append(self._text(part))
+        return b"".join(out)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        pieces = [self._pieces(t or "") for t in texts]
-        if len(self.memo) > self.memo_pieces:
-            self.memo = {}
-        new = set().union(*pieces) - self.memo.keys()
-        loose = {u for u in new if isinstance(u, str) and (not u or u[0].isspace())}
-        if loose:  # a space before white space or the end doesn't begin a word
-            for i, ps in enumerate(pieces):
-                if not loose.isdisjoint(ps):
-                    pieces[i] = self._joined(ps)
-            new = set().union(*pieces) - self.memo.keys()
-        whole = [u for u in new if isinstance(u, tuple) and len(u) == 2]
-        for u in whole:
-            self.memo[u] = self.special[u[0]] if u[1] == "special" else np.array(self.library.encode(u[0], add_special_tokens=False).ids, "<u4").tobytes()
-        self._learn(new.difference(whole))
-        out = [b"".join(map(self.memo.__getitem__, ps)) for ps in pieces]
-        for u in whole:
-            if u[1] == "library":
-                del self.memo[u]
-        return out
-
-    def _joined(self, pieces: list) -> list:
-        """The same text, split by BYTE_LEVEL."""
-        out: list = []
-        run = None
-        for p in [*pieces, None]:
-            if isinstance(p, str):
-                run += " " + p
-                continue
-            if run is not None:
-                out += [(w,) for w in BYTE_LEVEL.findall(run)]
-                run = None
-            if p is not None and len(p) == 1:
-                run = p[0]
-            elif p is not None:
-                out.append(p)
+        out = []
+        for t in texts:
+            out.append(self._encode(t) if t else b"")
+            self.words.age()
+            self.units.age()
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
 
@@ -146,12 +133,9 @@ def _encode(path: str, end_id: int):
             nonlocal before
             raw = [x + end for x in own.encode_batch(batch.column(1).to_pylist())]
             sizes = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
-            ends = np.cumsum(sizes)
-            flat = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
-            starts = before + ends - sizes
+            starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            return [batch.column(0), pa.array(sizes), pa.array(starts), ids]
+            return [batch.column(0), pa.array(sizes), pa.array(starts), id_lists(raw)]
 
         return each
 
