@@ -193,5 +193,5 @@ def is_english(x: C) -> Column:
 
 
 def sample_key(x: C, seed: int) -> Column:
-    """[TOP1] arithmetic hash that other engines can repeat: order by it for a seeded uniform sample."""
-    return F.pmod(F.pmod(_c(x).cast("long") * 40503 + seed, F.lit(2147483647)) * 48271, F.lit(2147483647))
+    """[TOP1] hash of seed and key, of any type, that other engines can repeat: order by it for a seeded uniform sample."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), _c(x).cast("string")))

@@ -8,6 +8,7 @@ runs agree. Clusters are numbered by size, then by least id.
 from __future__ import annotations
 
 import random
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from shelfgraph.constants import RESOLUTIONS
 from shelfgraph.operators.components import connected_components
 from shelfgraph.operators.graph import modularity
+from shelfgraph.operators.similarity import ids_column
 
 
 def _move(adj: list[dict], degree: list[float], label: list[int], two_m: float, gamma: float, rnd: random.Random, within: list[int] | None = None) -> bool:
@@ -23,9 +25,9 @@ def _move(adj: list[dict], degree: list[float], label: list[int], two_m: float,
     total: dict[int, float] = {}
     for v, c in enumerate(label):
         total[c] = total.get(c, 0.0) + degree[v]
-    queue = list(range(len(adj)))
-    rnd.shuffle(queue)
-    waiting, moved = set(queue), False
+    order = list(range(len(adj)))
+    rnd.shuffle(order)
+    queue, waiting, moved = deque(order), set(order), False
     while queue:
         v = queue.pop()
         waiting.discard(v)
@@ -45,7 +47,7 @@ def _move(adj: list[dict], degree: list[float], label: list[int], two_m: float,
             for u in adj[v]:
                 if label[u] != best and u not in waiting:
                     waiting.add(u)
-                    queue.insert(0, u)
+                    queue.appendleft(u)
     return moved
 
 
@@ -96,9 +98,10 @@ def communities(edges: DataFrame, resolutions: tuple = RESOLUTIONS, seed: int =
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["source", "target"])
         found = leiden(list(zip(rows["source"], rows["target"], rows["score"], strict=True)), two_m, key[1], seed)
-        return pd.DataFrame({"component": key[0], "resolution": key[1], "id": list(found), "c": list(found.values())})
+        return pd.DataFrame({"component": ids_column([key[0]] * len(found)), "resolution": key[1], "id": ids_column(found), "c": list(found.values())})
 
-    raw = own.groupBy("component", "resolution").applyInPandas(run, "component long, resolution double, id long, c long")
+    ident = edges.schema["source"].dataType.simpleString()
+    raw = own.groupBy("component", "resolution").applyInPandas(run, f"component {ident}, resolution double, id {ident}, c long")
     sizes = raw.groupBy("resolution", "component", "c").agg(F.count("*").alias("cluster_size"), F.min("id").alias("least"))
     number = F.row_number().over(Window.partitionBy("resolution").orderBy(F.desc("cluster_size"), "least")) - 1
     numbered = sizes.withColumn("cluster_id", number)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfgraph.operators.components import connected_components
+from shelfgraph.operators.similarity import ids_column
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int = 500, seed: int
         for source in p["pivot"]:
             for v, x in _brandes(adjacency, source, weighted).items():
                 total[v] += x
-        return pd.DataFrame({"id": list(total), "x": list(total.values())})
+        return pd.DataFrame({"id": ids_column(total), "x": list(total.values())})
 
-    sums = own.groupBy("component", "part").cogroup(picked.groupBy("c", "p")).applyInPandas(part, "id long, x double").groupBy("id").agg(F.sum("x").alias("x"))
+    sums = own.groupBy("component", "part").cogroup(picked.groupBy("c", "p")).applyInPandas(part, f"id {nodes.schema['id'].dataType.simpleString()}, x double").groupBy("id").agg(F.sum("x").alias("x"))
     return nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("x", F.lit(0.0)) * scale).alias("betweenness"))

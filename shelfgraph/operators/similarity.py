@@ -35,6 +35,12 @@ def _sparse(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return matrix(a) @ matrix(b).T
 
 
+def ids_column(values) -> pd.Series:
+    """Ids as numbers, or as plain objects: Spark doesn't take pandas' Arrow-backed text."""
+    out = pd.Series(list(values), dtype=object)
+    return out if not len(out) or isinstance(out.iat[0], str) else out.infer_objects()
+
+
 def with_terms(vectors: DataFrame, weights: DataFrame) -> DataFrame:
     """Every vector (id, vector) with its terms and weights (id, terms, weights); empty arrays where it has none, which score 0 there."""
     joined = vectors.join(weights, "id", "left")
@@ -59,13 +65,14 @@ def neighbours(vectors: DataFrame, k: int, threshold: float = -1.0, weight: floa
 
     def products(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": [], "score": []})
+            return pd.DataFrame({"src": ids_column([]), "dst": ids_column([]), "score": []})
         b = b.rename(columns=lambda c: c.removeprefix("r_")).sort_values("id").reset_index(drop=True)
         s = _dense(a) @ _dense(b).T
         if w > 0:
             s = (1 - w) * s + w * _sparse(a, b)
         ai, bi = a["id"].to_numpy(), b["id"].to_numpy()
-        s[ai[:, None] == bi[None, :]] = -np.inf
+        if a["i"].iat[0] == a["j"].iat[0]:  # an id's rows are dealt to one block
+            s[ai[:, None] == bi[None, :]] = -np.inf
         keep = s >= threshold
         if 0 < k < len(bi):
             order = np.argsort(-s, axis=1, kind="stable")[:, :k]
@@ -73,9 +80,10 @@ def neighbours(vectors: DataFrame, k: int, threshold: float = -1.0, weight: floa
             np.put_along_axis(top, order, True, axis=1)
             keep &= top
         r, c = np.nonzero(keep & np.isfinite(s))
-        return pd.DataFrame({"src": ai[r], "dst": bi[c], "score": s[r, c]})
+        return pd.DataFrame({"src": ids_column(ai[r]), "dst": ids_column(bi[c]), "score": s[r, c]})
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(products, "src long, dst long, score double")
+    own = vectors.schema["id"].dataType.simpleString()
+    found = left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(products, f"src {own}, dst {own}, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst")))
     return ranked.where(F.col("rank") <= k) if k else ranked
 

@@ -68,25 +68,38 @@ def tag_allowed(tag: Column) -> Column:
     return ~denied(t, DENIED_TAGS, DENIED_TAG_PARTS, DENIED_TAG_PATTERNS)
 
 
-def keep_last(base: DataFrame, increment: DataFrame, keys: list[str]) -> DataFrame:
-    """[SET1-SET3] both, columns by name; for each key the increment's row, wholesale."""
+def keep_last(base: DataFrame, increment: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
+    """[SET1-SET3] both, columns by name; for each key the increment's row, wholesale: the last by `order`, then by content, if it has several."""
     both = base.withColumn("__side", F.lit(0)).unionByName(increment.withColumn("__side", F.lit(1)), allowMissingColumns=True)
-    return first_rows(both, keys, [F.desc("__side")]).drop("__side")
+    content = F.xxhash64(*[c for c in both.columns if c != "__side"])
+    return first_rows(both, keys, [F.desc("__side"), *map(F.desc, order), content]).drop("__side")
 
 
-def map_closure(mapping: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """[SCL-C2, SCL-C3] (source, canonical) followed to the end of each chain by pointer doubling; a chain into a cycle stops at the cycle's least name, identities go."""
-    cur = mapping.where("source <> canonical").select("source", "canonical")
-    cur = checkpointed(cur)
-    for _ in range(max_rounds):
-        nxt = cur.alias("a").join(cur.alias("b"), F.col("a.canonical") == F.col("b.source"), "left")
-        nxt = nxt.select("a.source", F.coalesce("b.canonical", "a.canonical").alias("canonical"), (F.col("b.canonical").isNotNull() & (F.col("b.canonical") != F.col("a.canonical"))).alias("moved"))
-        nxt = checkpointed(nxt)
-        moved = nxt.where("moved AND source <> canonical").limit(1).count()
-        cur = nxt.select("source", "canonical")
-        if not moved:
-            break
-    return cur.where("source <> canonical")
+def map_closure(mapping: DataFrame) -> DataFrame:
+    """[SCL-C2, SCL-C3] (source, canonical) followed to the end of each chain by pointer doubling; identities go.
+
+    A chain that runs into a cycle ends at the first name of it that it meets; names on a cycle stay as they are. Of
+    several targets of one source the least counts. log2(n) rounds of one equi-join each settle every chain that ends;
+    what is unsettled then points into cycles, whose names are exactly the targets reached.
+    """
+    own = checkpointed(mapping.where("source <> canonical").groupBy("source").agg(F.min("canonical").alias("canonical")))
+    settled, cur = _doubled(own)
+    if not settled:
+        on_cycle = checkpointed(cur.join(own.select(F.col("source").alias("canonical")), "canonical", "left_semi").select(F.col("canonical").alias("source")).distinct())
+        _, cur = _doubled(checkpointed(own.join(on_cycle, "source", "left_anti")))
+    return cur
+
+
+def _doubled(mapping: DataFrame) -> tuple[bool, DataFrame]:
+    """Whether every chain has ended after log2(n) + 1 doublings, and the pointers then."""
+    cur = mapping
+    for _ in range(max(1, mapping.count()).bit_length() + 1):
+        step = cur.alias("a").join(cur.alias("b"), F.col("a.canonical") == F.col("b.source"), "left")
+        step = checkpointed(step.select("a.source", F.coalesce("b.canonical", "a.canonical").alias("canonical"), F.col("b.source").isNotNull().alias("moved")))
+        cur = step.select("source", "canonical")
+        if step.where("moved").isEmpty():
+            return True, cur
+    return False, cur
 
 
 def apply_map(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
@@ -142,9 +155,9 @@ def similar_names(names: DataFrame, name: str, threshold: float, blocked: bool =
 
 
 def upsert(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """[SNK13, SNK17] rows merged into existing by key: null keys go, a null never replaces a value, of repeated keys the last value (by __pos, if there) stays."""
+    """[SNK13, SNK17] rows merged into existing by key: null keys go, a null never replaces a value, of repeated keys the last value (by __pos, if there, then by content) stays."""
     cols = [c for c in rows.columns if c not in (key, "__pos")]
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__pos"))).alias(c)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("__pos", F.xxhash64(c)))).alias(c)
     rows = rows if "__pos" in rows.columns else rows.withColumn("__pos", F.lit(0))
     new = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*map(last, cols))
     every = [c for c in dict.fromkeys([*existing.columns, *new.columns]) if c != key]
@@ -154,13 +167,26 @@ def upsert(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def merge_relationships(feed: DataFrame, starts: DataFrame, ends: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """[SNK14, SNK16] distinct (start, end) of feed whose ends both exist as nodes, without those there already."""
+    """[SNK14] distinct (start, end) of feed whose ends both exist as nodes, without those there already; of repeated pairs the last row (by __pos, if there, then by content)."""
     rows = feed.where("start IS NOT NULL AND end IS NOT NULL")
     rows = rows.join(starts.select(F.col(starts.columns[0]).alias("start")), "start", "left_semi").join(ends.select(F.col(ends.columns[0]).alias("end")), "end", "left_semi")
-    rows = rows.dropDuplicates(["start", "end"])
+    more = [c for c in rows.columns if c not in ("start", "end", "__pos")]
+    if more:
+        place = F.struct(*(["__pos"] if "__pos" in rows.columns else []), F.xxhash64(*more).alias("content"))
+        rows = rows.groupBy("start", "end").agg(F.max_by(F.struct(*more), place).alias("row")).select("start", "end", "row.*")
+    else:
+        rows = rows.select("start", "end").distinct()
     return rows if existing is None else rows.join(existing.select("start", "end"), ["start", "end"], "left_anti")
 
 
+def upsert_edges(edges: DataFrame, nodes: DataFrame, existing: DataFrame, clear_first: bool = False) -> DataFrame:
+    """[SNK16] (start, end, score): existing edges with the scores of `edges` set over theirs, where both ends are nodes; clear_first drops the existing ones."""
+    new = merge_relationships(edges.select("start", "end", "score"), nodes, nodes)
+    if clear_first:
+        return new
+    return existing.select("start", "end", "score").join(new.select("start", "end"), ["start", "end"], "left_anti").unionByName(new)
+
+
 def relationship_counts(name: str, feed: DataFrame, created: DataFrame) -> DataFrame:
     """[SNK14, SNK19] (relationship, attempted, created): one row."""
     a = feed.where("start IS NOT NULL AND end IS NOT NULL").agg(F.count("*").alias("attempted"))

@@ -105,17 +105,26 @@ def hybrid_keywords(spark, d):
     return kept.select("id", F.row_number().over(Window.partitionBy("id").orderBy("source", "rank")).alias("rank"), "keyword").where("rank <= 10")
 
 
-@query("mention_citations", r"""
-WITH m AS (SELECT doc_id, list_filter(regexp_extract_all(text, '([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})', 1), lambda x: length(x) >= 3) AS ms FROM documents),
-idx AS (SELECT DISTINCT lower(trim(ms[1])) AS key, doc_id AS target_id FROM m WHERE len(ms) > 0),
-e AS (SELECT doc_id, unnest(ms) AS mention FROM m),
-hit AS (SELECT DISTINCT doc_id, target_id FROM e JOIN idx ON lower(trim(mention)) = key WHERE doc_id <> target_id)
-SELECT doc_id AS source_id, count(*) AS n, min(target_id) AS first_target, max(target_id) AS last_target FROM hit GROUP BY doc_id""")
+# RE2 knows word boundaries of ASCII alone, so letters and digits of other scripts become underscores first
+_MENTIONS = r"""
+m AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(regexp_replace(text, '[^\x00-\x7F\P{L}]', '_', 'g'), '[^\x00-\x7F\P{N}]', '_', 'g'), '\b([A-Z][a-z]+(?:[\t-\r\x1c-\x20\x{85}\p{Z}]+[A-Z][a-z]+){0,3})\b', 1), lambda x: length(x) >= 3) AS ms FROM documents)"""
+
+
+@query("mention_citations", f"""
+WITH {_MENTIONS}, idx AS (SELECT DISTINCT lower(trim(ms[1])) AS key, doc_id AS target_id FROM m WHERE len(ms) > 0),
+e AS (SELECT doc_id, unnest(ms) AS mention, unnest(range(len(ms))) AS pos FROM m)
+SELECT doc_id AS source_id, target_id, arg_min(mention, pos) AS mention FROM e JOIN idx ON lower(trim(mention)) = key WHERE doc_id <> target_id GROUP BY ALL""")
 def mention_citations(spark, d):
     docs = table(spark, d, "documents")
     index = docs.select(F.get(text.mentions(F.col("text")), 0).alias("name"), F.lit("work").alias("target_type"), F.col("doc_id").alias("target_id")).where("name IS NOT NULL")
     sources = docs.select(F.lit("work").alias("source_type"), F.col("doc_id").alias("source_id"), "text")
-    return text.citations(sources, index).groupBy("source_id").agg(F.count("*").alias("n"), F.min("target_id").alias("first_target"), F.max("target_id").alias("last_target"))
+    return text.citations(sources, index).select("source_id", "target_id", "mention")
+
+
+@query("mentions", f"WITH {_MENTIONS} SELECT doc_id, len(ms)::INT AS n, array_to_string(ms, '|') AS mentions FROM m")
+def mentions(spark, d):
+    found = table(spark, d, "documents").select("doc_id", text.mentions(F.col("text")).alias("ms"))
+    return found.select("doc_id", F.size("ms").alias("n"), F.array_join("ms", "|").alias("mentions"))
 
 
 # ---- filters, samples, joins -------------------------------------------------------------------------------
@@ -145,7 +154,7 @@ def required_fields_filter(spark, d):
     return tables.filled(table(spark, d, "orders"), "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate").select("o_orderkey", "o_orderpriority")
 
 
-@query("sample_hash", "SELECT o_orderkey FROM orders ORDER BY ((o_orderkey * 40503 + 42) % 2147483647 * 48271) % 2147483647, o_orderkey LIMIT 200")
+@query("sample_hash", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 200")
 def sample_hash(spark, d):
     return tables.sample(table(spark, d, "orders"), "o_orderkey", 200, 42).select("o_orderkey")
 
@@ -158,9 +167,9 @@ def semi_chain(spark, d):
     return table(spark, d, "customer").join(orders, "c_custkey", "left_semi").select("c_custkey", "c_mktsegment")
 
 
-@query("anti_existing", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("anti_existing", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_existing(spark, d):
-    known = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    known = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(known, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -271,10 +280,10 @@ def durations(spark, d):
 
 
 @query("unique_ignoring_case", """
-SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY pos) AS words FROM (SELECT doc_id, arg_min(w, pos) AS w, min(pos) AS pos FROM
-  (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, list_filter(string_split(text[1:400], ' '), lambda x: x <> '') AS ws FROM documents WHERE NOT contains(text[1:400], chr(10)))) GROUP BY doc_id, lower(w)) GROUP BY doc_id""")
+WITH t AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, list_transform(string_split(coalesce(text, ''), ' '), lambda x: trim(x)) AS ws FROM documents)),
+u AS (SELECT doc_id, arg_min(w, pos) AS w, min(pos) AS pos FROM t WHERE w <> '' GROUP BY doc_id, lower(w))
+SELECT d.doc_id, count(w) AS n, coalesce(string_agg(w, ' ' ORDER BY pos), '') AS words FROM documents d LEFT JOIN u ON u.doc_id = d.doc_id GROUP BY d.doc_id""")
 def unique_ignoring_case(spark, d):
-    # whole texts of all documents; the twin above reads a prefix of some
     docs = table(spark, d, "documents").select("doc_id", S.unique_ignoring_case(F.split(F.coalesce("text", F.lit("")), " ")).alias("w"))
     return docs.select("doc_id", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("words"))
 
@@ -362,10 +371,19 @@ def union_find_canonical(spark, d):
     return tables.canonical_names(pairs).join(names.withColumnRenamed("name", "source"), "source", "left_semi")
 
 
-@query("map_closure", "SELECT n_nationkey::VARCHAR AS source, (n_nationkey % 5)::VARCHAR AS canonical FROM nation WHERE n_nationkey >= 5")
+#: Chains of five steps; chains that end in a cycle of two and in a cycle of three.
+_MAP = """m AS (SELECT n_nationkey::VARCHAR AS source, (n_nationkey - 5)::VARCHAR AS canonical FROM nation WHERE n_nationkey >= 5
+  UNION ALL SELECT unnest(['a', 'b', 'c', 'x', 'y', 'p', 'q', 'r']), unnest(['b', 'c', 'a', 'b', 'x', 'q', 'p', 'q'])),
+walk AS (SELECT source, canonical AS at, [source, canonical] AS seen FROM m UNION ALL SELECT w.source, m.canonical, list_append(seen, m.canonical) FROM walk w JOIN m ON m.source = w.at WHERE NOT list_contains(seen, m.canonical)),
+ends AS (SELECT source, arg_max(w, len(w.seen)) AS w FROM walk w GROUP BY source),
+closed AS (SELECT e.source, coalesce(m.canonical, e.w.at) AS canonical FROM ends e LEFT JOIN m ON m.source = e.w.at)"""
+
+
+@query("map_closure", f"WITH RECURSIVE {_MAP} SELECT source, canonical FROM closed WHERE source <> canonical")
 def map_closure(spark, d):
-    m = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("source"), F.greatest(F.col("n_nationkey") - 5, F.col("n_nationkey") % 5).cast("string").alias("canonical"))
-    return tables.map_closure(m)
+    chains = table(spark, d, "nation").where("n_nationkey >= 5").select(F.col("n_nationkey").cast("string").alias("source"), (F.col("n_nationkey") - 5).cast("string").alias("canonical"))
+    cycles = spark.createDataFrame(list(zip("abcxypqr", "bcabxqpq", strict=True)), "source string, canonical string")
+    return tables.map_closure(chains.unionByName(cycles))
 
 
 @query("apply_merge_map", "SELECT s_suppkey, CASE WHEN s_nationkey >= 5 THEN (s_nationkey % 5)::VARCHAR ELSE s_nationkey::VARCHAR END AS nation FROM supplier")
@@ -409,7 +427,7 @@ def knn_edges_strict(spark, d):
     return _edges(spark, d, 10, 0.35).withColumn("score", F.round("score", 6))
 
 
-@query("hybrid_edges", f"""WITH {_TFIDF}, v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings JOIN (SELECT DISTINCT id AS vec_id FROM tfidf) USING (vec_id)), u AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+@query("hybrid_edges", f"""WITH {_TFIDF}, v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
 sp AS (SELECT a.id AS src, b.id AS dst, sum(a.weight * b.weight) AS s FROM tfidf a JOIN tfidf b ON a.term = b.term AND a.id <> b.id GROUP BY ALL),
 p AS (SELECT a.id AS src, b.id AS dst, 0.9 * list_dot_product(a.e, b.e) / (a.n * b.n) + 0.1 * coalesce(s, 0) AS score FROM u a JOIN u b ON a.id <> b.id LEFT JOIN sp ON sp.src = a.id AND sp.dst = b.id),
 ranked AS (SELECT src, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM p WHERE score >= 0.3) WHERE rank <= 10)

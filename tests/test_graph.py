@@ -28,6 +28,15 @@ def test_neighbours_and_edges(spark):
     assert similarity.neighbours(v, 10, -1.0).count() == 6
 
 
+def test_string_ids(spark):
+    v = spark.createDataFrame([("w0", [1.0, 0.0]), ("w1", [0.9, 0.436]), ("w2", [0.8, -0.6])], "id string, vector array<double>")
+    for block in (1, 100):
+        e = similarity.edges(similarity.neighbours(v, 1, 0.5, block_rows=block))
+        assert sorted((r.source, r.target) for r in e.collect()) == [("w0", "w1"), ("w0", "w2")]
+    assert {r.id for r in community.communities(e, (1.0,)).collect()} == {"w0", "w1", "w2"}
+    assert {r.id: r.betweenness for r in graph.betweenness(v.select("id"), e).collect()} == {"w0": 1.0, "w1": 0.0, "w2": 0.0}
+
+
 def test_modularity_and_leiden(spark):
     e = edges(spark, *TRIANGLES)
     found = community.communities(e, (1.0,))

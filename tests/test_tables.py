@@ -14,6 +14,49 @@ def test_canonical_names_and_closure(spark):
     assert rows(tables.map_closure(m), "source", "canonical") == [("a", "c"), ("b", "c")]
 
 
+def test_closure_of_long_chains_and_cycles(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(40)]
+    cycles = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("y", "x"), ("p", "q"), ("q", "p"), ("r", "q")]
+    mapping = dict(chain + cycles)
+
+    def walk(name):
+        seen = []
+        while name in mapping and name not in seen:
+            seen.append(name)
+            name = mapping[name]
+        return name
+
+    m = spark.createDataFrame([*chain, *cycles, ("a", "zz")], "source string, canonical string")
+    assert rows(tables.map_closure(m), "source", "canonical") == sorted((k, walk(k)) for k in mapping if walk(k) != k)
+    assert tables.map_closure(m.limit(0)).count() == 0
+
+
+def test_last_rows_are_the_same_for_every_dealing(spark):
+    base = spark.createDataFrame([(1, "x", 0)], "id int, a string, at int")
+    inc = spark.createDataFrame([(1, "p", 2), (1, "q", 3), (1, "r", 1)], "id int, a string, at int")
+    assert rows(tables.keep_last(base, inc, ["id"], ["at"]), "a") == [("q",)]
+    assert len({tuple(rows(tables.keep_last(base, inc.repartition(n), ["id"]), "a")) for n in (1, 2, 3)}) == 1
+    assert len({tuple(rows(tables.upsert(base, inc.repartition(n), "id"), "a")) for n in (1, 2, 3)}) == 1
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    feed = spark.createDataFrame([("a", "b", "author", 0), ("a", "b", "editor", 1)], "start string, end string, role string, __pos int")
+    assert rows(tables.merge_relationships(feed, nodes, nodes), "role") == [("editor",)]
+
+
+def test_edge_upsert(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    old = spark.createDataFrame([("a", "b", 0.1), ("b", "c", 0.2)], "start string, end string, score double")
+    new = spark.createDataFrame([("a", "b", 0.9), ("a", "z", 0.8), ("a", "c", 0.7)], "start string, end string, score double")
+    assert rows(tables.upsert_edges(new, nodes, old), "start", "end", "score") == [("a", "b", 0.9), ("a", "c", 0.7), ("b", "c", 0.2)]
+    assert rows(tables.upsert_edges(new, nodes, old, clear_first=True), "start", "end", "score") == [("a", "b", 0.9), ("a", "c", 0.7)]
+
+
+def test_samples_take_ids_of_any_type(spark):
+    df = spark.range(1000).selectExpr("id", "concat('w', id) AS work_id")
+    assert tables.sample(df, "work_id", 10, 1).count() == 10
+    ids = [r.id for r in tables.sample(df, "id", 500, 3).collect()]
+    assert 420 < sum(ids) / 500 < 580 and 200 < sum(i % 2 == 0 for i in ids) < 300
+
+
 def test_group_by_key(spark):
     df = spark.createDataFrame([(1, "publisher_2", "Tor!", None, 3, "shelf"), (2, "publisher_10", "tor", "US", 2, "keyword")], "pos int, id string, name string, country string, n long, kind string")
     got = tables.group_by_key(df, "name", "id", "pos", ["country"], ["n"], ["kind"]).first()
