@@ -26,7 +26,6 @@ gives none; columns besides text and n_chars are untouched.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfgraph.llm.shared import fresh, map_batches, release, sliced
-from shelfgraph.session import dropped, written
+from shelfgraph.session import dropped, tidy, written
 
 NUM, DEN = 4, 5  # Jaccard >= NUM / DEN
 SKETCH_BITS = 24
@@ -168,7 +167,9 @@ def token_sketch(docs: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -
     """One byte a cell: how often words of the cell occur (exact below 128, then by logarithm)."""
     cells = docs.select(text).mapInArrow(_count_cells(bits), "block int, cells binary")
     codes = np.zeros(1 << bits, np.uint8)
-    for row in cells.groupBy("block").applyInPandas(_add_cells, "block int, codes binary").collect():  # 2**bits bytes in all
+    with tidy(docs.sparkSession):
+        blocks = cells.groupBy("block").applyInPandas(_add_cells, "block int, codes binary").collect()  # 2**bits bytes in all
+    for row in blocks:
         part = np.frombuffer(row["codes"], np.uint8)[: len(codes)]
         codes[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
     return codes
@@ -345,7 +346,9 @@ def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
     """Bloom filter of two-column keys: 2**bits bits, packed, collected in blocks of 8 KB."""
     words = map_batches(keys, _places(bits), "b long").groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("m"))
     held = np.zeros((1 << bits) // 64, np.int64)
-    for row in words.groupBy(F.shiftright("w", 10).alias("block")).applyInPandas(_pack, "block long, bits binary").collect():  # 2**bits / 8 bytes at most
+    with tidy(keys.sparkSession):
+        blocks = words.groupBy(F.shiftright("w", 10).alias("block")).applyInPandas(_pack, "block long, bits binary").collect()  # 2**bits / 8 bytes at most
+    for row in blocks:
         held[row["block"] * 1024 : row["block"] * 1024 + 1024] = np.frombuffer(row["bits"], np.int64)
     return held.view(np.uint8)
 
@@ -380,12 +383,6 @@ def _fetch(docs, sets, bits: int):
     return make
 
 
-def _release(spark) -> None:
-    """Lets Spark drop the shuffle files of frames that are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _later(pairs: DataFrame, own: DataFrame, firsts: DataFrame) -> DataFrame:
     """(g1, g2) of the sets that are similar to the other, earlier set of a pair."""
     spark = own.sparkSession
@@ -450,7 +447,6 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sket
 
     dealt = _entries(lines).repartition(_word("k")).sortWithinPartitions("k", "g1", "g2")
     found = written(dealt.mapInArrow(_compare, PAIRS), "line-pairs")
-    _release(spark)
     gone = _later(written(found.where("b1 IS NOT NULL").distinct(), "line-pairs"), own, firsts)
     # sets with more partners than were emitted, if no emitted one settled them, meet all of their words' entries
     open_ = written(found.where("b1 IS NULL").select(F.col("a1").alias("g1"), F.col("a2").alias("g2")).distinct().join(gone, ["g1", "g2"], "left_anti"), "line-open")
@@ -471,7 +467,6 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sket
         gone = gone.unionByName(_later(written(rest, "line-pairs"), own, firsts)).distinct()
         known.unpersist()
     dropped(lines, found)
-    _release(spark)
     return firsts.join(gone, ["g1", "g2"], "left_anti").select("first.doc_id", "first.h", "first.line")
 
 
