@@ -2,11 +2,11 @@ r"""Token ids in ORC files: integer run-length encoding, row indexes, Bloom filt
 
 Documents are range-partitioned by id and sorted in each partition, so each file holds a run of ids and file
 and stripe statistics prune by id; a Bloom filter answers point look-ups inside the run. `before` is the
-number of tokens that stand before a document in its file, so a document's global start is its file's base
-(a sum over one small row a file) plus `before`. Stripes are read in parallel by Spark's ORC reader.
+number of tokens that its task wrote before a document, so a document's global start is its file's base (from a
+sum over one small row a file, sent to all tasks up to MOST_FILES) plus `before`. Stripes are read in parallel by Spark's ORC reader.
 
 Ids come from the tokenizers library: a text is cut at special tokens and at spaces that begin a word (where
-a byte-level file always splits), and the library's BPE model encodes each distinct piece; a memo of two
+a byte-level file always splits), and the library's BPE model encodes each distinct piece of a batch; a memo of two
 generations of bounded size keeps pieces already encoded by the task. Texts with characters on whose class Unicode
 versions disagree are encoded by the library whole.
 
@@ -24,23 +24,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfgraph.llm.bpe import KNOWN, byte_alphabet, id_lists
+from shelfgraph.llm.bpe import KNOWN, byte_alphabet
 from shelfgraph.llm.shared import map_batches
-from shelfgraph.session import shared_path
+from shelfgraph.session import shared_path, written
 
 END_ID = 0
 FORMAT = "doc_id long, n_tokens long, before long, ids array<int>"
 #: How byte-level files split text.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-MEMO_PIECES = 200_000
-
-
-class _Loose(Exception):
-    """A space before white space or the end doesn't begin a word."""
+MEMO_PIECES = 400_000
+MOST_FILES = 1_000_000  # rows of 16 bytes sent to all tasks
+#: Stands for a unit that must be split together with what surrounds it.
+LOOSE = b"loose"
 
 
 class _Memo(dict):
@@ -85,17 +85,18 @@ class ByteEncoder:
         return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        """What follows a space up to the next."""
+        """What follows a space up to the next; LOOSE if the space before it doesn't begin a word."""
         if unit.isalpha():
-            return self.words[" " + unit]
+            return self._pretoken(" " + unit)
         if not unit or unit[0].isspace():
-            raise _Loose
+            return LOOSE
         return self._text(" " + unit)
 
     def _text(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, BYTE_LEVEL.findall(text)))
 
-    def _encode(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
+        """A text with special tokens, rare characters or runs of white space."""
         out = []
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
@@ -103,21 +104,53 @@ class ByteEncoder:
             elif part and KNOWN.search(part):
                 out.append(np.array(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
             elif part:
-                first, *rest = part.split(" ")
-                try:
-                    out += [self._text(first), *map(self.units.__getitem__, rest)]
-                except _Loose:
-                    out.append(self._text(part))
+                out.append(self._text(part))
         return b"".join(out)
 
+    def _odd(self, text: str) -> bool:
+        return (not text.isascii() and KNOWN.search(text) is not None) or any(s in text for s in self.special)
+
+    def encode_lists(self, texts: pa.StringArray, end_id: int | None = None) -> pa.ListArray:
+        """Ids of each text, with end_id behind them. Texts are split at spaces and each distinct unit is encoded once."""
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        whole = texts.to_pylist()
+        split = pc.split_pattern(texts, " ")
+        at = split.offsets.to_numpy().astype(np.int64)
+        pieces, row = split.flatten(), np.repeat(np.arange(len(whole)), np.diff(at))
+        coded = pieces.dictionary_encode()
+        code, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        begins = np.zeros(len(code), bool)
+        begins[at[:-1]] = True  # a text's first piece follows no space
+        rest = np.zeros(len(known), bool)
+        rest[code[~begins]] = True
+        units = [self.units[u] if r else b"" for u, r in zip(known, rest.tolist(), strict=True)]
+        loose = np.fromiter((u is LOOSE for u in units), bool, len(units))
+        slow = np.fromiter(map(self._odd, whole), bool, len(whole))
+        slow[row[loose[code] & ~begins]] = True
+        heads = [self._whole(t) if s else self._text(t[: len(known[c])]) for t, s, c in zip(whole, slow.tolist(), code[at[:-1]].tolist(), strict=True)]
+        # each text: its head (all of it, if slow), its other units, its end
+        values = [*(b"" if u is LOOSE else u for u in units), *heads, *([np.array([end_id], "<u4").tobytes()] if end_id is not None else [])]
+        size = np.fromiter((len(v) >> 2 for v in values), np.int64, len(values))
+        begin = np.cumsum(size) - size
+        stay = begins | ~slow[row]
+        chosen = np.where(begins, len(units) + row, code)[stay]
+        owner = row[stay]
+        if end_id is not None:
+            ends = np.cumsum(np.bincount(owner, minlength=len(whole)))
+            chosen, owner = np.insert(chosen, ends, len(values) - 1), np.insert(owner, ends, np.arange(len(whole)))
+        n = size[chosen]
+        upto = np.cumsum(n)
+        place = np.repeat(begin[chosen] - (upto - n), n)
+        place += np.arange(len(place))
+        flat = np.frombuffer(b"".join(values), "<i4")[place]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=n, minlength=len(whole)))]).astype(np.int32)
+        self.words.age()
+        self.units.age()
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for t in texts:
-            out.append(self._encode(t) if t else b"")
-            self.words.age()
-            self.units.age()
-        return out
+        return [np.array(x.as_py(), "<u4").tobytes() for x in self.encode_lists(pa.array(texts, pa.string()))]
 
 
 @lru_cache(maxsize=1)
@@ -127,15 +160,15 @@ def encoder(path: str) -> ByteEncoder:
 
 def _encode(path: str, end_id: int):
     def make():
-        own, before, end = encoder(path), 0, np.array([end_id], "<u4").tobytes()
+        own, before = encoder(path), 0
 
         def each(batch):
             nonlocal before
-            raw = [x + end for x in own.encode_batch(batch.column(1).to_pylist())]
-            sizes = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
+            ids = own.encode_lists(batch.column(1), end_id)
+            sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            return [batch.column(0), pa.array(sizes), pa.array(starts), id_lists(raw)]
+            return [batch.column(0), pa.array(sizes), pa.array(starts), ids]
 
         return each
 
@@ -146,7 +179,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     """Encodes docs into ORC files at path, ascending by id; returns path."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows = map_batches(ordered, _encode(tokenizer, end_id), FORMAT)
+    rows = map_batches(ordered, _encode(tokenizer, end_id), FORMAT, 8 << 20)
     (
         rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
         .option("orc.row.index.stride", "1000").option("orc.stripe.size", str(16 << 20)).orc(path)
@@ -156,12 +189,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (tokens of all documents before it), n_tokens, ids. A filter on doc_id prunes files, stripes and row groups."""
-    rows = spark.read.schema(FORMAT).orc(path).withColumn("__file", F.col("_metadata.file_path"))
-    files = rows.groupBy("__file").agg(F.sum("n_tokens").alias("n"), F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"))
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    # one row a file
-    return rows.join(F.broadcast(base), "__file").select("doc_id", (F.col("__base") + F.col("before")).alias("start"), "n_tokens", "ids")
+    rows = spark.read.schema(FORMAT).orc(path).withColumn("__file", F.xxhash64("_metadata.file_path"))
+    files = rows.groupBy("__file").agg(F.sum("n_tokens").alias("n"), F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"), F.min("before").alias("low"))
+    # a row a file, over which the one window runs; a task may have written several files
+    before = Window.orderBy("first", "low").rowsBetween(Window.unboundedPreceding, -1)
+    base = written(files.select("__file", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("__base")), "tokens-files")
+    base = F.broadcast(base) if base.count() <= MOST_FILES else base
+    return rows.join(base, "__file").select("doc_id", (F.col("__base") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def checksums():

@@ -46,6 +46,15 @@ def test_orc_round_trip(docs, rows):
     assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
 
 
+def test_starts_hold_when_a_task_writes_several_files(spark, docs):
+    want = sorted(map(str, token_orc.token_digests(docs, tokenizer_path(BYTE)).collect()))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        assert sorted(map(str, token_orc.token_digests(docs, tokenizer_path(BYTE)).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 def test_orc_prunes_by_id(spark, docs):
     from shelfgraph.session import shared_path
 
@@ -65,3 +74,43 @@ def test_odd_white_space_equals_the_library():
 
 def test_empty_table(empty):
     assert token_orc.token_digests(empty, tokenizer_path(BYTE)).count() == 0
+
+
+def test_lists_with_ends_whatever_the_batch():
+    import pyarrow as pa
+
+    lib, own = library(BYTE), token_orc.ByteEncoder(tokenizer_path(BYTE), memo_pieces=3)
+    texts = ["", None, "a b  c", " lead", "trail ", "x\ty\n z", "plain words here", "<|endoftext|> mid<|endoftext|>", "ก ข", "\n", "one", "words here plain", "it's 12 o'clock!"]
+    want = [[*lib.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert own.encode_lists(pa.array(texts), 0).to_pylist() == want
+    assert [x for t in texts for x in own.encode_lists(pa.array([t], pa.string()), 0).to_pylist()] == want
+    assert own.encode_lists(pa.array([], pa.string()), 0).to_pylist() == []
+
+
+def test_decoding_starts_from_ids():
+    import pyarrow as pa
+
+    codec, lib = bpe.Codec(tokenizer_path(WORD)), library(WORD)
+    ids = [[], [5, 9, 5], [40000], [1, 2, 3]]
+    assert codec.decode_batch(pa.array(ids, pa.list_(pa.int32()))).to_pylist() == [lib.decode(i, skip_special_tokens=False) for i in ids]
+    assert codec.decode_batch(pa.array([[5, 10**7, -3, 9]], pa.list_(pa.int64()))).to_pylist() == [lib.decode([5, 9], skip_special_tokens=False)]
+    assert codec.decode_batch(pa.array([[1], [5, 9], [7]], pa.list_(pa.int32()))[1:2]).to_pylist() == [lib.decode([5, 9], skip_special_tokens=False)]
+    assert codec.decode([5, 9]) == lib.decode([5, 9], skip_special_tokens=False)
+
+
+def test_the_queries_equal_the_library(spark, tmp_path, docs, rows):
+    import hashlib
+
+    from shelfgraph.llm import queries
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    lib = library(WORD)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in rows:
+        ids = lib.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((str(r[0]), len(ids), sha(np.array(ids, "<u4").tobytes()), sha(lib.decode(ids, skip_special_tokens=False).encode())))
+    got = queries.op2_bpe_codec(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.op2_bpe_codec(spark, f"{tmp_path}/none").count() == queries.op3_token_orc(spark, f"{tmp_path}/none").count() == 0
