@@ -11,11 +11,11 @@ words and drop those that occur once, which nothing can match; a full sketch cos
 
 Entries are dealt by word and sorted by word and set size, once. One pass over the sorted entries compares each
 with those of its word inside the size window, LONG of them, and emits the pairs that also pass the positional
-filter and a parity filter (64 parities of a set's words differ in at most as many bits as the sets in words). An
+filter and a parity filter (64 or 128 parities of a set's words differ in at most as many bits as the sets in words). An
 entry emits at most FEW pairs and the one with its earliest partner, so a group of near copies costs a few rows a
 member. Sets with more partners, or with a window beyond LONG, are remembered; those among them that no emitted
 pair settles are joined with all entries of their words, so that no pair is lost (only entries that pass a Bloom
-filter of these words are dealt again). Words of pairs are fetched in
+filter of these words are dealt again, with 512 parities of their sets). Words of pairs are fetched in
 a pass over the documents that hold them, found through Bloom filters sized by their number, and Jaccard is
 counted on 64-bit hashes (of a word's bytes, eight at a time, each step mixed; words over a kilobyte by BLAKE2b).
 
@@ -45,6 +45,7 @@ SEEN_SETS = 150_000
 SLICE = 2 << 20  # bytes of text at once
 FEW = 4
 LONG = 1024
+WIDE = 32  # words from which on a set's name is its parities
 ROWS = 1 << 18  # entries compared at once
 MOST_SENT = 200_000  # rows of 16 bytes
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -123,11 +124,25 @@ class _Sets:
         self.n = np.diff(np.append(self.start, len(self.h)))
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """A sum and a parity that name each set by 128 bits. Parities of two sets differ in at most as many bits as the sets in words."""
+        """Two numbers that name each set. Sets of WIDE words or more: 128 parities of their words, each word counting
+        in one; they differ in at most as many bits as the sets in words. Others: a sum of hashes, and the 128 parities
+        folded to 64."""
         if not len(self.start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         bit = np.uint64(1) << (self.h >> np.uint64(7) & np.uint64(63))
-        return np.add.reduceat(_mix(self.h), self.start).view(np.int64), np.bitwise_xor.reduceat(bit, self.start).view(np.int64)
+        high = (self.h >> np.uint64(13) & np.uint64(1)).astype(bool)
+        zero = np.uint64(0)
+        a, b = (np.bitwise_xor.reduceat(x, self.start) for x in (np.where(high, zero, bit), np.where(high, bit, zero)))
+        wide = self.n >= WIDE
+        return np.where(wide, b, np.add.reduceat(_mix(self.h), self.start)).view(np.int64), np.where(wide, a, a ^ b).view(np.int64)
+
+
+    def signs(self) -> list[np.ndarray]:
+        """512 parities of each set's words in eight numbers: nearly the difference itself, for pairs that names alone can't tell."""
+        if not len(self.start):
+            return [np.zeros(0, np.int64)] * len(SIGNS)
+        bit, part = np.uint64(1) << (self.h >> np.uint64(7) & np.uint64(63)), self.h >> np.uint64(13) & np.uint64(7)
+        return [np.bitwise_xor.reduceat(np.where(part == np.uint64(k), bit, np.uint64(0)), self.start).view(np.int64) for k in range(len(SIGNS))]
 
 
 def _count_cells(bits: int):
@@ -175,7 +190,8 @@ def token_sketch(docs: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -
     return codes
 
 
-LINES = "doc_id long, h long, line int, g1 long, g2 long, n int, prefix array<long>"
+SIGNS = [f"s{k}" for k in range(8)]
+LINES = f"doc_id long, h long, line int, g1 long, g2 long, n int, {', '.join(f'{s} long' for s in SIGNS)}, prefix array<long>"
 LAST = (1 << 63) - 1  # where null ids stand
 
 
@@ -186,7 +202,7 @@ def _index(sketch, bits: int):
         def each(batch):
             s = _Sets(batch.column(2), codes, bits)
             if not len(s.start):
-                return [[]] * 7
+                return [[]] * (7 + len(SIGNS))
             g1, g2 = s.ids()
             at = pa.array(s.text)
             doc = batch.column(0).take(at)
@@ -204,7 +220,7 @@ def _index(sketch, bits: int):
             items = ((s.h[inside] >> np.uint64(24) << np.uint64(24)) | np.minimum(place[inside], _LOW).astype(np.uint64)).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(~new, False)), pa.array(items))
-            return [doc, batch.column(1).take(at), pa.array(s.number), pa.array(g1), pa.array(g2), pa.array(s.n.astype(np.int32)), prefix]
+            return [doc, batch.column(1).take(at), pa.array(s.number), pa.array(g1), pa.array(g2), pa.array(s.n.astype(np.int32)), *s.signs(), prefix]
 
         return each
 
@@ -215,6 +231,12 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64)).astype(np.int64)
 
 
+def differing(n, m, a1, a2, b1, b2) -> np.ndarray:
+    """In how many parities sets of sizes n, m and names (a1, a2), (b1, b2) differ, at least."""
+    folded = _bits(np.where(n >= WIDE, a1 ^ a2, a2) ^ np.where(m >= WIDE, b1 ^ b2, b2))
+    return np.where((n >= WIDE) & (m >= WIDE), _bits(a1 ^ b1) + _bits(a2 ^ b2), folded)
+
+
 def passes(n, m, p, q, differ):
     """Length, positional and parity filters of two entries of sizes n, m at places p, q whose parities differ in so many bits."""
     need = NUM * (n + m)
@@ -268,7 +290,7 @@ class _Window:
             j = i - d
             inside = DEN * n[j] >= NUM * n[i]
             i, j = i[inside], j[inside]
-            ok = passes(n[i], n[j], p[i], p[j], _bits(g2[i] ^ g2[j])) & ((g1[i] != g1[j]) | (g2[i] != g2[j]))
+            ok = passes(n[i], n[j], p[i], p[j], differing(n[i], n[j], g1[i], g2[i], g1[j], g2[j])) & ((g1[i] != g1[j]) | (g2[i] != g2[j]))
             x, y = i[ok], j[ok]
             late, tie = ord_[x] > ord_[y], ord_[x] == ord_[y]
             emit = np.zeros(len(x), bool)
@@ -402,11 +424,11 @@ def _later(pairs: DataFrame, own: DataFrame, firsts: DataFrame) -> DataFrame:
     return out
 
 
-def _entries(lines: DataFrame) -> DataFrame:
-    """(k, g1, g2, p, ord): a row for each word of a prefix; k holds the word's 40 bits and the set's size."""
+def _entries(lines: DataFrame, more: list[str] = ()) -> DataFrame:
+    """(k, g1, g2, p, ord, *more): a row for each word of a prefix; k holds the word's 40 bits and the set's size."""
     size = F.least(F.col("n"), F.lit(_LOW)).cast("long")
-    each = lines.select("g1", "g2", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), size.alias("n"), F.explode("prefix").alias("x"))
-    return each.select(F.expr("(x & ~16777215L) | n").alias("k"), "g1", "g2", F.expr("x & 16777215L").alias("p"), "ord")
+    each = lines.select("g1", "g2", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), size.alias("n"), *more, F.explode("prefix").alias("x"))
+    return each.select(F.expr("(x & ~16777215L) | n").alias("k"), "g1", "g2", F.expr("x & 16777215L").alias("p"), "ord", *more)
 
 
 def _word(k: str):
@@ -420,7 +442,7 @@ def _under(words, bits: int):
         held = words.value
 
         def each(batch):
-            prefix = batch.column(6)
+            prefix = batch.column(batch.num_columns - 1)
             items = prefix.flatten().to_numpy()
             word = items >> 24
             stay = _in_bloom(held, word, word, bits)
@@ -428,7 +450,7 @@ def _under(words, bits: int):
             count = np.bincount(np.repeat(np.arange(len(size)), size)[stay], minlength=len(size))
             some = np.flatnonzero(count)
             offsets = np.concatenate([[0], np.cumsum(count[some])]).astype(np.int32)
-            return [*(batch.column(c).take(pa.array(some)) for c in range(6)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(items[stay]))]
+            return [*(batch.column(c).take(pa.array(some)) for c in range(batch.num_columns - 1)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(items[stay]))]
 
         return each
 
@@ -453,15 +475,16 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sket
     n_open = open_.count()
     if n_open:
         few = (lambda df: F.broadcast(df)) if n_open <= MOST_SENT else (lambda df: df)
-        x = written(_entries(lines.join(few(open_), ["g1", "g2"], "left_semi")), "line-open")
+        x = written(_entries(lines.join(few(open_), ["g1", "g2"], "left_semi"), SIGNS), "line-open")
         words = x.select(_word("k").alias("t")).distinct()
         bits = min(MOST_BLOOM_BITS, max(16, (8 * words.count()).bit_length()))
         known = spark.sparkContext.broadcast(_bloom(words.select("t", F.col("t").alias("u")), bits))
         # of all entries only those under these words are dealt
-        y = _entries(map_batches(lines.where("prefix IS NOT NULL"), _under(known, bits), LINES, SLICE))
+        y = _entries(map_batches(lines.where("prefix IS NOT NULL"), _under(known, bits), LINES, SLICE), SIGNS)
         n, m = "(x.k & 16777215L)", "(y.k & 16777215L)"
         need = f"{NUM} * ({n} + {m})"
-        ok = f"{DEN} * {n} >= {NUM} * {m} AND {DEN} * {m} >= {NUM} * {n} AND {NUM + DEN} * least({n} - x.p, {m} - y.p) >= {need} AND {NUM + DEN} * ({n} + {m} - bit_count(x.g2 ^ y.g2)) >= 2 * {need}"
+        differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in SIGNS)
+        ok = f"{DEN} * {n} >= {NUM} * {m} AND {DEN} * {m} >= {NUM} * {n} AND {NUM + DEN} * least({n} - x.p, {m} - y.p) >= {need} AND {NUM + DEN} * ({n} + {m} - ({differ})) >= 2 * {need}"
         ok = f"shiftright(x.k, 24) = shiftright(y.k, 24) AND x.ord >= y.ord AND NOT (x.g1 = y.g1 AND x.g2 = y.g2) AND (({n} = 16777215L AND {m} = 16777215L) OR ({ok}))"
         rest = x.alias("x").join(y.alias("y"), F.expr(ok)).select(F.col("x.g1").alias("a1"), F.col("x.g2").alias("a2"), F.col("y.g1").alias("b1"), F.col("y.g2").alias("b2")).distinct()
         gone = gone.unionByName(_later(written(rest, "line-pairs"), own, firsts)).distinct()

@@ -169,12 +169,29 @@ def test_no_pair_of_entries_is_lost(monkeypatch):
         checked = 0
         for t, n, x, p, o in entries:
             for u, m, y, q, r in entries:
-                if t == u and x != y and o >= r and line_dedup.passes(*(np.array([v]) for v in (n, m, p, q, (x[1] ^ y[1]).bit_count())))[0]:
+                if t == u and x != y and o >= r and line_dedup.passes(*(np.array([v]) for v in (n, m, p, q)), line_dedup.differing(*(np.array([v]) for v in (n, m, *x, *y))))[0]:
                     checked += 1
                     assert (x, y) in pairs or x in left or (o == r and y in left)
         assert checked > 100 and len(left) < len(least)
 
 
+def test_names_bound_the_difference_of_sets():
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    for _ in range(300):
+        k = rnd.randrange(1, 90)
+        a = set(rnd.sample(words, k))
+        b = (a - set(rnd.sample(sorted(a), min(len(a) - 1, rnd.randrange(0, 9))))) | set(rnd.sample(words, rnd.randrange(0, 9)))
+        s = line_dedup._Sets(pa.array([" ".join(sorted(a)), " ".join(sorted(b, reverse=True)) + " " + next(iter(b))]))
+        (a1, b1), (a2, b2) = s.ids()
+        assert s.n.tolist() == [len(a), len(b)]
+        assert ((a1, a2) == (b1, b2)) == (a == b)
+        assert line_dedup.differing(*(np.array([x]) for x in (len(a), len(b), a1, a2, b1, b2)))[0] <= len(a ^ b)
+        assert sum(((int(x[0]) ^ int(x[1])) & (2**64 - 1)).bit_count() for x in s.signs()) <= len(a ^ b)
+
+
 def test_word_hashes_tell_words_apart():
     words = [b"a", b"b", b"ab", b"ba", b"abcdefgh", b"abcdefgh\x00", b"abcdefghi", b"abcdefghabcdefgh", b"x" * 1024, b"x" * 1025, b"x" * 1026, "é".encode()]
     h, start = line_dedup._hashes(b"\n" + b" ".join(words) + b"\n")
