@@ -24,6 +24,7 @@ from shelfgraph.llm.shared import map_batches
 BINS = 512
 BITS = 4
 SHINGLE = 5
+RUN_BYTES = 64 << 20
 
 _orders: dict[int, np.ndarray] = {}
 
@@ -108,7 +109,9 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("__at", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
-    runs = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a run holds some RUN_BYTES of text, however large the table
+    runs = max(4 * dealt, (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RUN_BYTES)
     cuts = own.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / runs for i in range(1, runs)], 0.25 / runs)
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) > 2:
@@ -120,7 +123,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     small = spark.createDataFrame([(r["run"], r["head"], to[r["run"]]) for r in heads], "run double, head long, to double")
     placed = own.join(F.broadcast(small), "run").withColumn("x", F.expr("explode(CASE WHEN doc_id <=> head THEN array(named_struct('r', run, 'b', 0), named_struct('r', to, 'b', 1)) ELSE array(named_struct('r', run, 'b', 0)) END)"))
     rows = placed.select(F.col("x.r").alias("run"), F.col("x.b").alias("borrowed"), "doc_id", "text", F.xxhash64("text").alias("tie"))
-    return rows.repartition("run").sortWithinPartitions("run", "borrowed", F.col("doc_id").desc_nulls_last(), "tie")
+    spread = rows.repartition("run") if runs == 4 * dealt else rows.repartition(runs, "run")
+    return spread.sortWithinPartitions("run", "borrowed", F.col("doc_id").desc_nulls_last(), "tie")
 
 
 FORMAT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
