@@ -10,7 +10,8 @@ Statistics are computed where the text is, in one pass over whole texts; only st
 kept for training (all of them, no sample). Labels, ids, language and source are no inputs.
 
 Defined results: null and blank texts have statistics of zero and get a score; without labels of both classes
-every score is the share of ones, or 0.5 without labels; repeated rows each get their row.
+every score is the share of ones, or 0.5 without labels; repeated rows each get their row; rows without an id are
+scored, never learnt from; an empty table gives none.
 """
 
 from __future__ import annotations

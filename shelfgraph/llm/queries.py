@@ -52,6 +52,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold(m: int):
+    """crc32 of the id as text, mod m; rows without an id are in no held-out fold, and no label is theirs."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(m))
 
 
@@ -60,13 +61,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, share = toxicity.training_rows(docs, labels.where(_fold(4) != 2), "toxic")
     model = toxicity.fit([t for t, _ in rows], [y for _, y in rows], share=share)
     scored = toxicity.score_documents(docs, model)
-    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality_classifier.score_documents(docs, labels.where(_fold(5) != 0))
-    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_minhash_next(spark: SparkSession, sf_dir: str) -> DataFrame:

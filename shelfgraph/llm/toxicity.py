@@ -13,7 +13,8 @@ folded into one and keep a bounded memo of words. Training uses at most `most` l
 least hash of id first (a documented bound); scoring reads whole texts of all rows.
 
 Defined results: null and blank texts are scored like a window without words (the prior); rows without a
-label only get a score; without labels of both classes every score is the share of toxic labels, or 0.
+label only get a score; without labels of both classes every score is the share of toxic labels, or 0; rows without an id
+are scored, never learnt from; an empty table gives none.
 """
 
 from __future__ import annotations
