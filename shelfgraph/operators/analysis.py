@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +88,68 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     return error
 
 
+def runtime_estimate(runs: DataFrame, sample: float, nodes: float | None = None) -> DataFrame:
+    """[AGG55] one row (seconds, slope, intercept, rmse, runs, basis) from runs (sample_size, node_count, total_seconds): by nodes where wanted and known, else by sample size."""
+    known = runs.where("node_count > 0")
+    by_nodes = bool(nodes) and not known.isEmpty()
+    own, x, target = (known, "node_count", nodes) if by_nodes else (runs, "sample_size", sample)
+    fit = linear_fit(own, x, "total_seconds").join(own.agg(F.count("*").alias("runs")), F.lit(True))
+    return fit.select(F.greatest(F.lit(0.0), F.col("intercept") + F.col("slope") * F.lit(float(target))).alias("seconds"), "slope", "intercept", "rmse", "runs", F.lit(x).alias("basis"))
+
+
+def step_durations(runs: DataFrame) -> DataFrame:
+    """[AGG52] (title, seconds, runs): mean duration of each step of runs (steps: title, seconds)."""
+    each = runs.select(F.explode("steps").alias("s")).select(F.coalesce("s.title", F.lit("")).alias("title"), F.coalesce("s.seconds", F.lit(0.0)).alias("x"))
+    return each.groupBy("title").agg(F.avg("x").alias("seconds"), F.count("*").alias("runs"))
+
+
+def exported(members: DataFrame, smallest: int) -> DataFrame:
+    """[FLT10] members of clusters with at least `smallest` of them."""
+    return members.where(F.col("cluster_size") >= smallest)
+
+
+def timeline(members: DataFrame, year: str, cluster: str = "cluster_id") -> DataFrame:
+    """[GRF10, FLT11] (cluster_id, year, n): a cluster's works by year, 1800 to 2025."""
+    return members.where(F.col(year).between(1800, 2025)).groupBy(F.col(cluster).alias("cluster_id"), F.col(year).alias("year")).agg(F.count("*").alias("n"))
+
+
+def exponential_fit(x: list[float], y: list[float]) -> tuple[float, float, float]:
+    """[SIM5] a, b, c of least squares for y = a exp(-b x) + c. For each b the rest is linear, so only b is searched."""
+    xs, ys = np.asarray(x, float), np.asarray(y, float)
+
+    def solved(b: float) -> tuple[float, np.ndarray]:
+        m = np.stack([np.exp(np.clip(-b * (xs - xs.min()), -50, 50)), np.ones(len(xs))], axis=1)
+        p = np.linalg.lstsq(m, ys, rcond=None)[0]
+        return float(((m @ p - ys) ** 2).sum()), p
+
+    grid = np.concatenate([-np.geomspace(1e-3, 30, 200)[::-1], np.geomspace(1e-3, 1e3, 200)]) / max(1e-12, float(np.ptp(xs)))
+    at = int(np.argmin([solved(b)[0] for b in grid]))
+    lo, hi = sorted((grid[max(0, at - 1)], grid[min(len(grid) - 1, at + 1)]))
+    for _ in range(100):
+        p, q = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+        lo, hi = (lo, q) if solved(p)[0] < solved(q)[0] else (p, hi)
+    b = (lo + hi) / 2
+    a, c = solved(b)[1]
+    return float(a * np.exp(b * xs.min())), float(b), float(c)
+
+
+def elbow(sweep: DataFrame, x: str, y: str, w: str, steps: int = 400, margin: int = 30) -> tuple[float, float, float]:
+    """[SIM5] (x, y, w) where the two straight lines that best follow the fitted curve of a sweep meet; w is read off the sweep. A sweep has a row a run."""
+    rows = sorted((float(r[x]), float(r[y]), float(r[w])) for r in sweep.where(f"{x} IS NOT NULL AND {y} IS NOT NULL").collect())
+    xs, ys, ws = (np.array(c) for c in zip(*rows, strict=True))
+    a, b, c = exponential_fit(xs, ys)
+    grid = np.linspace(xs[0], xs[-1], steps)
+    curve = a * np.exp(-b * grid) + c
+
+    def lines(k: int) -> tuple:
+        left, right = np.polyfit(grid[:k], curve[:k], 1), np.polyfit(grid[k:], curve[k:], 1)
+        return float(((curve[:k] - np.polyval(left, grid[:k])) ** 2).sum() + ((curve[k:] - np.polyval(right, grid[k:])) ** 2).sum()), left, right
+
+    _, left, right = min((lines(k) for k in range(margin, steps - margin)), key=lambda v: v[0])
+    at = (right[1] - left[1]) / (left[0] - right[0])
+    return float(at), float(left[0] * at + left[1]), float(np.interp(at, xs, ws))
+
+
 def cluster_profile(members: DataFrame, title: str, limit: int = 5) -> DataFrame:
     """[AGG46, SRT3] (cluster_id, size, titles): distinct titles, the first `limit` in order, a line each; largest cluster first."""
     size = members.groupBy("cluster_id").agg(F.count("*").alias("size"))

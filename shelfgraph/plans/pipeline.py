@@ -1,9 +1,10 @@
-"""[ORC1-ORC12] The batch pipeline's configuration and a driver that times its steps."""
+"""The batch pipeline's configuration and a driver that times its steps."""
 
 from __future__ import annotations
 
 import json
 import time
+import tomllib
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
@@ -28,8 +29,17 @@ class Config:
     smallest_community: int = 3
 
 
+def read_config(path: str | None) -> Config:
+    """[ORC12] a Config with the values of a JSON or TOML file set over the defaults; unknown names are an error."""
+    if path is None:
+        return Config()
+    with open(path, "rb") as f:
+        values = tomllib.load(f) if path.endswith(".toml") else json.load(f)
+    return Config(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+
+
 def run_steps(steps: list[tuple[str, Callable[[dict], dict]]], state: dict) -> tuple[dict, list[dict]]:
-    """Runs named steps in order, each adding to state; the first failure ends the run. Returns state and each step's seconds."""
+    """[ORC1a] Runs named steps in order, each adding to state; the first failure ends the run. Returns state and each step's seconds."""
     log = []
     for title, step in steps:
         began = time.time()
@@ -39,7 +49,7 @@ def run_steps(steps: list[tuple[str, Callable[[dict], dict]]], state: dict) -> t
 
 
 def analyse(documents: DataFrame, vectors: DataFrame, config: Config | None = None) -> tuple[dict, list[dict]]:
-    """Embeddings to communities: documents (id, text) and vectors (id, vector) give ranked neighbours, edges, metrics, assignments."""
+    """[ORC7-ORC9] Embeddings to communities: documents (id, text) and vectors (id, vector) give ranked neighbours, edges, metrics, assignments."""
     c = config or Config()
 
     def terms(s: dict) -> dict:

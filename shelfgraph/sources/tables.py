@@ -1,12 +1,14 @@
-"""[SRC1-SRC22, SNK1-SNK12, ORC15] Reading and writing the catalogue's tables."""
+"""Reading and writing the catalogue's tables."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfgraph.functions.scalars import parsed_list
+from shelfgraph.operators.extraction import numbered
 from shelfgraph.operators.tables import require_columns
 
 
@@ -36,6 +38,24 @@ def read_table(spark: SparkSession, folder: str, name: str, schema: str | None =
     return require_columns(df, *required) if required else df
 
 
+def read_catalogue(spark: SparkSession, folder: str, names: tuple, schemas: dict[str, str] | None = None, lists: dict[str, tuple] | None = None) -> dict[str, DataFrame]:
+    """[SRC4-SRC8] the named tables of a folder; those that are missing are empty where schemas has them, else an error."""
+    return {n: read_table(spark, folder, n, (schemas or {}).get(n), (lists or {}).get(n, ())) for n in names}
+
+
+def read_first(spark: SparkSession, folder: str, *names: str) -> DataFrame:
+    """[SRC15, SRC22] the first of the candidates that is there."""
+    for n in names:
+        if exists(spark, f"{folder}/{n}.parquet") or exists(spark, f"{folder}/{n}.csv"):
+            return read_table(spark, folder, n)
+    raise FileNotFoundError(f"{folder}: none of {', '.join(names)}")
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame | None:
+    """[SRC21] a JSON document as one row, or None where it is missing."""
+    return spark.read.option("multiLine", True).json(path) if exists(spark, path) else None
+
+
 def read_vectors(spark: SparkSession, path: str, key: str = "work_id", column: str = "embedding") -> DataFrame:
     """[SRC10] (id, vector of floats)."""
     df = require_columns(spark.read.parquet(path), key, column)
@@ -53,7 +73,7 @@ def read_weights(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
 
 def read_runs(spark: SparkSession, pattern: str) -> DataFrame:
     """[SRC16] (run, sample_size, total_seconds) of run logs; files without a positive size and time are left out."""
-    schema = "sample_size long, total_seconds double, steps array<struct<title: string, seconds: double>>"
+    schema = "sample_size long, node_count long, total_seconds double, steps array<struct<title: string, seconds: double>>"
     runs = spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("run", F.input_file_name())
     return runs.where("sample_size > 0 AND total_seconds > 0")
 
@@ -64,11 +84,22 @@ def created_nodes(spark: SparkSession, pattern: str) -> DataFrame:
     return logs.select(F.aggregate(F.map_values("nodes"), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["created"], F.lit(0))).alias("nodes"))
 
 
-def write_tables(frames: dict[str, DataFrame], folder: str) -> None:
-    """[SNK1, SNK2, SNK4-SNK7] each table that has columns as Parquet."""
+def write_tables(frames: dict[str, DataFrame], folder: str, empty: bool = True) -> None:
+    """[SNK1, SNK2, SNK4-SNK7] each table that has columns as Parquet, or as CSV where Parquet can't hold a column's type; without `empty` only those that have rows."""
     for name, df in frames.items():
-        if df.columns:
+        if not df.columns or (not empty and df.isEmpty()):
+            continue
+        try:
             df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        except AnalysisException:
+            write_csv(df, f"{folder}/{name}.csv")
+
+
+def write_weights(weights: DataFrame, folder: str) -> None:
+    """[SNK6] term weights with the vocabulary (term, column) and the index of ids (id, row), both numbered from 0 in order."""
+    weights.write.mode("overwrite").parquet(f"{folder}/weights.parquet")
+    for name, key, number in (("vocabulary", "term", "column"), ("index", "id", "row")):
+        numbered(weights.select(key).distinct(), key, number).withColumn(number, F.col(number) - 1).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
