@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.constants import EXTRACTION_STOPWORDS, KEYWORD_STOPWORDS
@@ -97,12 +97,7 @@ both_ AS (SELECT id, 0 AS source, rank, term AS keyword FROM top UNION ALL SELEC
 firsts AS (SELECT *, row_number() OVER (PARTITION BY id, regexp_replace(lower(keyword), '[^\p{{L}}\p{{N}}_]', '', 'g') ORDER BY source, rank) AS f FROM both_)
 SELECT id, r AS rank, keyword FROM (SELECT id, keyword, row_number() OVER (PARTITION BY id ORDER BY source, rank)::INT AS r FROM firsts WHERE f = 1) WHERE r <= 10""")
 def hybrid_keywords(spark, d):
-    docs = table(spark, d, "documents")
-    parts = _top_terms(spark, d).select("id", F.lit(0).alias("source"), "rank", F.col("term").alias("keyword"))
-    phrases = text.rake(docs).select("id", F.lit(1).alias("source"), "rank", F.col("phrase").alias("keyword"))
-    first = F.row_number().over(Window.partitionBy("id", S.token_key("keyword")).orderBy("source", "rank"))
-    kept = parts.unionByName(phrases).withColumn("first", first).where("first = 1")
-    return kept.select("id", F.row_number().over(Window.partitionBy("id").orderBy("source", "rank")).alias("rank"), "keyword").where("rank <= 10")
+    return text.hybrid_keywords(table(spark, d, "documents"))
 
 
 # RE2 knows word boundaries of ASCII alone, so letters and digits of other scripts become underscores first
