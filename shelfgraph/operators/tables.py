@@ -194,6 +194,13 @@ def relationship_counts(name: str, feed: DataFrame, created: DataFrame) -> DataF
     return a.join(c, F.lit(True)).select(F.lit(name).alias("relationship"), "attempted", "created")
 
 
+def relationship_totals(name: str, feed: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """[SNK14, SNK19] (relationship, attempted, created) in one pass over feed: rows with both ends, and distinct pairs whose ends are nodes."""
+    rows = feed.where("start IS NOT NULL AND end IS NOT NULL").groupBy("start", "end").agg(F.count("*").alias("n"))
+    rows = rows.join(starts.select(F.col(starts.columns[0]).alias("start"), F.lit(1).alias("s")).distinct(), "start", "left").join(ends.select(F.col(ends.columns[0]).alias("end"), F.lit(1).alias("e")).distinct(), "end", "left")
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("attempted"), F.coalesce(F.sum(F.col("s") * F.col("e")), F.lit(0)).cast("long").alias("created")).select(F.lit(name).alias("relationship"), "attempted", "created")
+
+
 def duplicated_keys(df: DataFrame, key: str) -> DataFrame:
     """[SNK15] keys that occur more than once; none means the constraint holds."""
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
