@@ -474,13 +474,15 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sket
     open_ = written(found.where("b1 IS NULL").select(F.col("a1").alias("g1"), F.col("a2").alias("g2")).distinct().join(gone, ["g1", "g2"], "left_anti"), "line-open")
     n_open = open_.count()
     if n_open:
+        # a set's entries of several tasks become one, in its least document
+        once = lambda df: df.groupBy("k", "g1", "g2", "p", *SIGNS).agg(F.min("ord").alias("ord"))
         few = (lambda df: F.broadcast(df)) if n_open <= MOST_SENT else (lambda df: df)
-        x = written(_entries(lines.join(few(open_), ["g1", "g2"], "left_semi"), SIGNS), "line-open")
+        x = written(once(_entries(lines.join(few(open_), ["g1", "g2"], "left_semi"), SIGNS)), "line-open")
         words = x.select(_word("k").alias("t")).distinct()
         bits = min(MOST_BLOOM_BITS, max(16, (8 * words.count()).bit_length()))
         known = spark.sparkContext.broadcast(_bloom(words.select("t", F.col("t").alias("u")), bits))
         # of all entries only those under these words are dealt
-        y = _entries(map_batches(lines.where("prefix IS NOT NULL"), _under(known, bits), LINES, SLICE), SIGNS)
+        y = once(_entries(map_batches(lines.where("prefix IS NOT NULL"), _under(known, bits), LINES, SLICE), SIGNS))
         n, m = "(x.k & 16777215L)", "(y.k & 16777215L)"
         need = f"{NUM} * ({n} + {m})"
         differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in SIGNS)
