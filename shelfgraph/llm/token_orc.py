@@ -7,7 +7,7 @@ sum over one small row a file, sent to all tasks up to MOST_FILES) plus `before`
 
 Ids come from the tokenizers library: a text is cut at special tokens and at spaces that begin a word (where
 a byte-level file always splits), and the library's BPE model encodes each distinct piece of a batch; a memo of two
-generations of bounded size keeps pieces already encoded by the task. Texts with characters on whose class Unicode
+generations of bounded size keeps pieces already encoded by the worker. Texts with characters on whose class Unicode
 versions disagree are encoded by the library whole.
 
 Defined results: a null text is encoded as an empty one and holds the end id alone; null document ids sort
@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 
 from shelfgraph.llm.bpe import KNOWN, byte_alphabet
 from shelfgraph.llm.shared import map_batches
-from shelfgraph.session import shared_path, written
+from shelfgraph.session import batches_of, shared_path, written
 
 END_ID = 0
 FORMAT = "doc_id long, n_tokens long, before long, ids array<int>"
 #: How byte-level files split text.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-MEMO_PIECES = 400_000
+MEMO_PIECES, MEMO_UNITS = 300_000, 300_000
+BATCH_ROWS = 5000  # rows sent to a worker at once
 MOST_FILES = 1_000_000  # rows of 16 bytes sent to all tasks
 #: Stands for a unit that must be split together with what surrounds it.
 LOOSE = b"loose"
@@ -63,7 +64,7 @@ class _Memo(dict):
 
 
 class ByteEncoder:
-    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
+    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES, memo_units: int = MEMO_UNITS):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -75,7 +76,7 @@ class ByteEncoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.space = self.alphabet[32]
-        self.words, self.units = _Memo(self._pretoken, memo_pieces), _Memo(self._unit, memo_pieces)
+        self.words, self.units = _Memo(self._pretoken, memo_pieces), _Memo(self._unit, memo_units)
 
     def _pretoken(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():
@@ -115,10 +116,12 @@ class ByteEncoder:
         texts = pc.fill_null(texts, "").cast(pa.string())
         whole = texts.to_pylist()
         split = pc.split_pattern(texts, " ")
-        at = split.offsets.to_numpy().astype(np.int64)
-        pieces, row = split.flatten(), np.repeat(np.arange(len(whole)), np.diff(at))
-        coded = pieces.dictionary_encode()
-        code, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = split.offsets.to_numpy()
+        at = at - at[0]
+        coded = split.flatten().dictionary_encode()
+        del split
+        code, known = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        del coded
         begins = np.zeros(len(code), bool)
         begins[at[:-1]] = True  # a text's first piece follows no space
         rest = np.zeros(len(known), bool)
@@ -126,24 +129,27 @@ class ByteEncoder:
         units = [self.units[u] if r else b"" for u, r in zip(known, rest.tolist(), strict=True)]
         loose = np.fromiter((u is LOOSE for u in units), bool, len(units))
         slow = np.fromiter(map(self._odd, whole), bool, len(whole))
-        slow[row[loose[code] & ~begins]] = True
+        if loose.any():
+            slow[np.searchsorted(at, np.flatnonzero(loose[code] & ~begins), side="right") - 1] = True
         heads = [self._whole(t) if s else self._text(t[: len(known[c])]) for t, s, c in zip(whole, slow.tolist(), code[at[:-1]].tolist(), strict=True)]
         # each text: its head (all of it, if slow), its other units, its end
         values = [*(b"" if u is LOOSE else u for u in units), *heads, *([np.array([end_id], "<u4").tobytes()] if end_id is not None else [])]
-        size = np.fromiter((len(v) >> 2 for v in values), np.int64, len(values))
-        begin = np.cumsum(size) - size
-        stay = begins | ~slow[row]
-        chosen = np.where(begins, len(units) + row, code)[stay]
-        owner = row[stay]
+        del whole, known, units, heads
+        # places fit 32 bits, as the offsets of the result do
+        size = np.fromiter(map(len, values), np.int32, len(values)) >> 2
+        begin = np.cumsum(size, dtype=np.int32) - size
+        chosen, count = code.copy(), np.diff(at)
+        chosen[at[:-1]] = np.arange(len(loose), len(loose) + len(slow))
+        if slow.any():
+            chosen, count = chosen[begins | ~np.repeat(slow, count)], np.where(slow, 1, count)
         if end_id is not None:
-            ends = np.cumsum(np.bincount(owner, minlength=len(whole)))
-            chosen, owner = np.insert(chosen, ends, len(values) - 1), np.insert(owner, ends, np.arange(len(whole)))
+            chosen, count = np.insert(chosen, np.cumsum(count), len(values) - 1), count + 1
         n = size[chosen]
-        upto = np.cumsum(n)
+        upto = np.cumsum(n, dtype=np.int32)
         place = np.repeat(begin[chosen] - (upto - n), n)
-        place += np.arange(len(place))
+        place += np.arange(len(place), dtype=np.int32)
         flat = np.frombuffer(b"".join(values), "<i4")[place]
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=n, minlength=len(whole)))]).astype(np.int32)
+        offsets = np.concatenate([[0], upto[np.cumsum(count) - 1]]).astype(np.int32)
         self.words.age()
         self.units.age()
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -179,11 +185,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     """Encodes docs into ORC files at path, ascending by id; returns path."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows = map_batches(ordered, _encode(tokenizer, end_id), FORMAT, 8 << 20)
-    (
-        rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
-        .option("orc.row.index.stride", "1000").option("orc.stripe.size", str(16 << 20)).orc(path)
-    )
+    rows = map_batches(ordered, _encode(tokenizer, end_id), FORMAT, 10 << 20)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        (
+            rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
+            .option("orc.row.index.stride", "1000").option("orc.stripe.size", str(16 << 20)).orc(path)
+        )
     return path
 
 

@@ -114,3 +114,20 @@ def test_the_queries_equal_the_library(spark, tmp_path, docs, rows):
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert queries.op2_bpe_codec(spark, f"{tmp_path}/none").count() == queries.op3_token_orc(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_tokens_are_written_from_small_batches(spark):
+    from shelfgraph.session import batches_of, written
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with batches_of(spark, token_orc.BATCH_ROWS):
+        sizes = written(spark.range(0, 2 * token_orc.BATCH_ROWS + 1, 1, 1).mapInArrow(counted, "n long"), "rows")
+    assert sorted(r.n for r in sizes.collect()) == [1, token_orc.BATCH_ROWS, token_orc.BATCH_ROWS]
+    assert spark.conf.get(name) == before
