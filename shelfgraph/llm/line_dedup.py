@@ -9,7 +9,7 @@ Rarity comes from counts of word hashes in 2**SKETCH_BITS cells over the lines (
 counted once), summed in blocks and broadcast as one byte a cell (16 MB, whatever the corpus). Cells only order
 words and drop those that occur once, which nothing can match; a full sketch costs speed, not results.
 
-Entries are dealt by word and sorted by word and set size, once. One pass over the sorted entries compares each
+Entries are dealt by word and sorted by word and set size, once. One pass over the sorted entries (equal sets side by side) compares each
 with those of its word inside the size window, LONG of them, and emits the pairs that also pass the positional
 filter and a parity filter (64 or 128 parities of a set's words differ in at most as many bits as the sets in words). An
 entry emits at most FEW pairs and the one with its earliest partner, so a group of near copies costs a few rows a
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfgraph.llm.shared import fresh, map_batches, release, sliced
-from shelfgraph.session import dropped, tidy, written
+from shelfgraph.session import batches_of, dropped, tidy, written
 
 NUM, DEN = 4, 5  # Jaccard >= NUM / DEN
 SKETCH_BITS = 24
@@ -192,6 +192,7 @@ def token_sketch(docs: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -
 
 SIGNS = [f"s{k}" for k in range(8)]
 LINES = f"doc_id long, h long, line int, g1 long, g2 long, n int, {', '.join(f'{s} long' for s in SIGNS)}, prefix array<long>"
+BATCH_ROWS = 2500  # rows sent to a worker at once
 LAST = (1 << 63) - 1  # where null ids stand
 
 
@@ -326,17 +327,33 @@ class _Window:
         return [pa.array(np.concatenate([a1, g1[done]])), pa.array(np.concatenate([a2, g2[done]])), pa.array(np.concatenate([b1, none]), mask=mask), pa.array(np.concatenate([b2, none]), mask=mask)]
 
 
+def _side_by_side(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Entries sorted by k, those of one k by g1 and g2 too."""
+    k = cols[0]
+    again = np.flatnonzero(k[1:] == k[:-1])
+    tied = np.zeros(len(k), bool)
+    tied[again] = tied[again + 1] = True
+    at = np.flatnonzero(tied)
+    order = at[np.lexsort((cols[2][at], cols[1][at], k[at]))]
+    for c in cols:
+        c[at] = c[order]
+    return cols
+
+
 def _compare(batches):
     window, held = _Window(), []
 
     def block(last):
-        cols = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(5)] if held else [np.zeros(0, np.int64)] * 5
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64) for _ in range(5)]
         held.clear()
-        return pa.RecordBatch.from_arrays(window.pairs(cols, last), names=["a1", "a2", "b1", "b2"])
+        if not last and (at := int(np.searchsorted(cols[0], cols[0][-1]))):  # a block ends where k changes, if it does
+            held.append([c[at:] for c in cols])
+            cols = [c[:at] for c in cols]
+        return pa.RecordBatch.from_arrays(window.pairs(_side_by_side(cols), last), names=["a1", "a2", "b1", "b2"])
 
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= ROWS:
+        held.append([batch.column(c).to_numpy() for c in range(5)])
+        if sum(len(h[0]) for h in held) >= ROWS:
             yield block(False)
     yield block(True)
     del window
@@ -459,15 +476,20 @@ def _under(words, bits: int):
 
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, h, line): lines with words that stay; h is the hash of the text."""
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _kept_lines(docs, doc_id, text, sketch_bits)
+
+
+def _kept_lines(docs: DataFrame, doc_id: str, text: str, sketch_bits: int) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
     sketch = spark.sparkContext.broadcast(token_sketch(own, "text", sketch_bits))
-    lines = written(map_batches(own, _index(sketch, sketch_bits), LINES, SLICE), "line-sets")
+    lines = written(map_batches(own, _index(sketch, sketch_bits), LINES, SLICE), "line-sets", **{"parquet.enable.dictionary": "false"})  # hashes hardly repeat
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "line")).alias("first")
     firsts = written(lines.groupBy("g1", "g2").agg(first), "line-firsts")
     sketch.unpersist()
 
-    dealt = _entries(lines).repartition(_word("k")).sortWithinPartitions("k", "g1", "g2")
+    dealt = _entries(lines).repartition(_word("k")).sortWithinPartitions("k")  # one number: a radix sort
     found = written(dealt.mapInArrow(_compare, PAIRS), "line-pairs")
     gone = _later(written(found.where("b1 IS NOT NULL").distinct(), "line-pairs"), own, firsts)
     # sets with more partners than were emitted, if no emitted one settled them, meet all of their words' entries

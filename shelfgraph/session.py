@@ -64,11 +64,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again; cheaper to keep than a checkpoint as columns are packed."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df, written to the shared folder as Parquet with these options and read again; cheaper to keep than a checkpoint as columns are packed."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     with tidy(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -198,3 +198,29 @@ def test_word_hashes_tell_words_apart():
     assert len(set(h.tolist())) == len(words) == len(start)
     again, _ = line_dedup._hashes(b"\n" + b"\t".join(w.upper() for w in words[::-1]) + b"\r\n")
     assert again[::-1].tolist()[:-1] == h.tolist()[:-1]
+
+
+def test_lines_are_read_in_small_batches(spark, docs, monkeypatch):
+    name, seen, sketch = "spark.sql.execution.arrow.maxRecordsPerBatch", [], line_dedup.token_sketch
+    before = spark.conf.get(name)
+    monkeypatch.setattr(line_dedup, "token_sketch", lambda *a: seen.append(int(spark.conf.get(name))) or sketch(*a))
+    line_dedup.kept_lines(docs, sketch_bits=16)
+    assert seen == [line_dedup.BATCH_ROWS] and spark.conf.get(name) == before
+
+
+def test_entries_sorted_by_word_and_size_alone_give_the_same_pairs(monkeypatch):
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    rows = sorted({(int(rnd.integers(0, 40)) << 24 | int(rnd.integers(8, 12)), int(g := rnd.integers(0, 25)), int(g) * 5, 0, int(rnd.integers(0, 60))) for _ in range(3000)})
+
+    def found(rows, batch):
+        cols = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+        parts = [pa.RecordBatch.from_arrays([pa.array(c[at : at + batch]) for c in cols], names=list("kabpo")) for at in range(0, len(rows), batch)]
+        return {r for b in line_dedup._compare(iter(parts)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+
+    want = found(rows, len(rows))
+    mixed = [rows[i] for i in sorted(range(len(rows)), key=lambda i, order=rnd.permutation(len(rows)): (rows[i][0], order[i]))]
+    assert want and found(mixed, len(rows)) == want
+    monkeypatch.setattr(line_dedup, "ROWS", 200)
+    assert found(mixed, 50) == found(rows, 50)
