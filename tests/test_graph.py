@@ -1,5 +1,6 @@
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,47 @@ def test_string_ids(spark):
     assert {r.id: r.betweenness for r in graph.betweenness(v.select("id"), e).collect()} == {"w0": 1.0, "w1": 0.0, "w2": 0.0}
 
 
+def plain_neighbours(rows, k, threshold, weight):
+    """(src, dst) to score of each id's k best, by plain loops."""
+    found = {}
+    unit = lambda v: v / (np.linalg.norm(v) or 1.0)
+    for a, v, ts in rows:
+        scored = []
+        for b, u, us in rows:
+            if a != b:
+                norm = np.sqrt(sum(x * x for x in ts.values())) * np.sqrt(sum(x * x for x in us.values())) or 1.0
+                scored.append(((1 - weight) * (unit(v) @ unit(u)) + weight * sum(x * us[t] for t, x in ts.items() if t in us) / norm, b))
+        scored = sorted((-round(s, 12), b) for s, b in scored if s >= threshold)
+        found |= {(a, b): -s for s, b in (scored[:k] if k else scored)}
+    return found
+
+
+@pytest.mark.parametrize("k,threshold,weight", [(5, 0.1, 0.0), (0, 0.3, 0.0), (5, 0.1, 0.1), (3, -1.0, 0.6), (3, 0.0, 1.0)])
+def test_neighbours_by_plain_loops(spark, monkeypatch, k, threshold, weight):
+    """Tiles, blocks, equal vectors (ties by id), zero vectors, rows without terms and vectors that aren't numbers."""
+    monkeypatch.setattr(similarity, "TILE", 16)
+    rnd = np.random.default_rng(1)
+    v = rnd.normal(size=(90, 6))
+    v[40:50], v[77] = v[3], 0.0
+    terms = [{f"t{t}": float(rnd.random()) for t in rnd.choice(12, int(rnd.integers(0, 5)), replace=False)} for _ in v]
+    rows = [(i, v[i], terms[i]) for i in range(len(v))]
+    data = [(i, x.tolist(), list(t), list(t.values())) for i, x, t in rows] + [(900, [float("nan")] * 6, [], []), (None, v[0].tolist(), [], []), (901, None, [], [])]
+    df = spark.createDataFrame(data, "id long, vector array<double>, terms array<string>, weights array<double>")
+    want = plain_neighbours(rows, k, threshold, weight)
+    for block in (20, None):
+        got = {(r.src, r.dst): r.score for r in similarity.neighbours(df, k, threshold, weight, block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
+def test_neighbours_copy_vectors_to_few_blocks(spark):
+    """Each vector goes to as many tasks as there are blocks: eight for small tables, where blocks of 2,048 rows made 15 for 30,000 and five times more for five times the rows."""
+    v = spark.range(3000).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.xxhash64("id", i) % 1000 + 0.5).cast("float")).alias("vector"))
+    ranked = similarity.neighbours(v, 3, 0.0)
+    assert ranked.count() == 9000
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "FlatMapCoGroupsInPandas" not in plan
+
+
 def test_modularity_and_leiden(spark):
     e = edges(spark, *TRIANGLES)
     found = community.communities(e, (1.0,))
