@@ -55,8 +55,8 @@ def analyse(documents: DataFrame, vectors: DataFrame, config: Config | None = No
     def terms(s: dict) -> dict:
         from pyspark.sql import functions as F
 
-        weights = text.tfidf(documents, "id", "text", c.ngrams, c.min_df, c.max_df, c.max_terms)
-        return {"rows": similarity.with_terms(vectors, weights.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")))}
+        weights = text.tfidf_lists(documents, "id", "text", c.ngrams, c.min_df, c.max_df, c.max_terms).select("id", "terms", "weights")
+        return {"rows": similarity.with_terms(vectors, weights)}
 
     steps = [
         ("tf-idf", terms),
