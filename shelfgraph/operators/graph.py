@@ -5,12 +5,14 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfgraph.operators.components import connected_components
 from shelfgraph.operators.similarity import ids_column
+from shelfgraph.session import written
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
@@ -117,6 +119,33 @@ def _brandes(adjacency: dict, source, weighted: bool) -> dict:
     return out
 
 
+def _shares(s: np.ndarray, t: np.ndarray, sources: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the sources' parts of unweighted betweenness of nodes 0 to n - 1, level by level over edges (s, t)."""
+    tail, head = np.r_[s, t].astype(np.int32), np.r_[t, s].astype(np.int32)
+    order = np.argsort(tail, kind="stable")
+    head, degree = head[order], np.bincount(tail, minlength=n)
+    start, total = np.cumsum(degree) - degree, np.zeros(n)
+    for source in sources:
+        seen, paths, level, steps = np.zeros(n, bool), np.zeros(n), np.array([source]), []
+        seen[source], paths[source] = True, 1.0
+        while len(level):
+            size = degree[level]
+            ends = np.cumsum(size)
+            to = head[np.arange(ends[-1]) + np.repeat(start[level] - (ends - size), size)]
+            new = ~seen[to]
+            at, to = np.repeat(level, size)[new].astype(np.int32), to[new]
+            seen[to] = True
+            paths += np.bincount(to, paths[at], minlength=n)
+            steps.append((at, to))
+            level = np.unique(to)
+        share = np.zeros(n)
+        for at, to in reversed(steps):
+            share += np.bincount(at, paths[at] / paths[to] * (1 + share[to]), minlength=n)
+        share[source] = 0.0
+        total += share
+    return total
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int = 500, seed: int = 42, weighted: bool = False, parts: int = 16) -> DataFrame:
     """[GRF6] (id, betweenness), normalised, from at most `pivots` sources (least seeded hash first; a documented sample), scaled to all.
 
@@ -127,12 +156,17 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int = 500, seed: int
     k = min(n, pivots)
     labels = connected_components(edges, "source", "target").withColumnRenamed("node", "id")
     own = edges.join(labels.withColumnRenamed("id", "source"), "source").select("component", "source", "target", "score")
-    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     # renamed, so that both sides may come from one lineage
-    picked = chosen.join(labels, "id").select(F.col("component").alias("c"), F.col("id").alias("pivot"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"))
+    picked = written(chosen.join(labels, "id").select(F.col("component").alias("c"), F.col("id").alias("pivot"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p")), "pivots")
+    # at most `pivots` rows; edges go only to parts that have pivots
+    own = own.join(F.broadcast(picked.select(F.col("c").alias("component"), F.col("p").alias("part")).distinct()), "component")
     scale = (n / max(k, 1)) / max((n - 1) * (n - 2), 1)
 
     def part(e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not weighted:
+            places, names = pd.factorize(pd.concat([e["source"], e["target"]], ignore_index=True))
+            x = _shares(places[: len(e)], places[len(e) :], pd.Index(names).get_indexer(p["pivot"]), len(names))
+            return pd.DataFrame({"id": ids_column(names), "x": x})
         adjacency = defaultdict(list)
         for s, t, w in zip(e["source"], e["target"], e["score"], strict=True):
             adjacency[s].append((t, w))

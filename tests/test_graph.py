@@ -1,3 +1,4 @@
+import collections
 import itertools
 
 import numpy as np
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfgraph.operators import analysis, community, graph, similarity
+from shelfgraph.plans import catalog
 
 
 def edges(spark, *pairs):
@@ -99,6 +101,31 @@ def test_clustering_and_betweenness(spark):
     assert between[2] == pytest.approx(6 / 10) and between[0] == 0
 
 
+def test_shares_are_those_of_single_steps():
+    """Levels at once give what the queue of single steps gives, with repeated edges, loops and two components."""
+    rnd = np.random.default_rng(2)
+    pairs = np.r_[rnd.integers(0, 30, (60, 2)), rnd.integers(30, 40, (12, 2)), [[0, 1], [0, 1], [5, 5]], [[i, i + 1] for i in range(39) if i != 29]]
+    adjacency = collections.defaultdict(list)
+    for s, t in pairs.tolist():
+        adjacency[s].append((t, 1.0))
+        adjacency[t].append((s, 1.0))
+    want = np.zeros(40)
+    for source in (0, 7, 35):
+        for v, x in graph._brandes(adjacency, source, False).items():
+            want[v] += x
+    assert np.allclose(graph._shares(pairs[:, 0], pairs[:, 1], np.array([0, 7, 35]), 40), want)
+
+
+def test_queries_find_neighbours_once(spark, monkeypatch):
+    """Operators that read edges more than once get them written."""
+    calls = []
+    monkeypatch.setattr(catalog, "written", lambda df, name: calls.append(name) or df)
+    for name in ("graph_metrics", "edge_overlap", "avg_clustering", "numeric_assortativity", "attr_assortativity", "modularity_of_labels"):
+        monkeypatch.setattr(catalog, "_edges", lambda *a: edges(spark, *TRIANGLES))
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert calls == ["edges"] * 6
+
+
 def test_assortativity(spark):
     e = edges(spark, *TRIANGLES)
     values = spark.createDataFrame([(i, i // 3) for i in range(6)], "id long, value long")
