@@ -1,6 +1,7 @@
 import pytest
 
 from shelfgraph.operators import tables
+from shelfgraph.plans import catalog, catalog_graph  # noqa: F401
 
 
 def rows(df, *cols):
@@ -103,3 +104,9 @@ def test_tags_and_lists(spark):
 def test_missing_columns(spark):
     with pytest.raises(ValueError, match="nope"):
         tables.require_columns(spark.range(1), "id", "nope")
+
+
+def test_books_are_joined_once_for_all_feeds(spark):
+    """rels_counts reads its books as written, so line items are joined and told apart once."""
+    plan = catalog.QUERIES["rels_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_linenumber" not in plan and "book_id" in plan
