@@ -17,7 +17,8 @@ from shelfgraph.session import batches_of, written
 BLOCK_ROWS = 65_536  # of a block at most; a pair of blocks is a task
 SIDE = 8  # blocks, so that small tables are dealt to SIDE * SIDE tasks; fewer where a block would have under LEAST rows
 LEAST = 256
-TILE = 2048  # rows of one product
+TILE = 1024  # rows of one product
+FIRST = 256  # of its columns that give the first bars
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -96,36 +97,85 @@ def _sparse(a: _Block, b: _Block, r: np.ndarray, c: np.ndarray, to_b: np.ndarray
 
 
 def _kth(r: np.ndarray, s: np.ndarray, k: int, rows: int) -> np.ndarray:
-    """The k-th largest of s for each row; -inf below k values."""
-    order = np.lexsort((-s, r))
-    first = np.searchsorted(r[order], np.arange(rows))
-    count = np.diff(np.r_[first, len(r)])
-    bar = np.full(rows, -np.inf)
+    """The k-th largest of s for each row; -inf below k values. r is in order."""
+    count = np.bincount(r, minlength=rows)
+    first, width, bar = np.cumsum(count) - count, int(count.max(initial=0)), np.full(rows, -np.inf)
+    if width < k:
+        return bar
+    if rows * width <= 8 * len(r):
+        wide = np.full((rows, width), -np.inf, s.dtype)
+        wide[r, np.arange(len(r)) - first[r]] = s
+        return np.partition(wide, width - k, axis=1)[:, width - k].astype(np.float64)
+    # a few rows have most of the values
     full = count >= k
-    bar[full] = s[order][first[full] + k - 1]
+    bar[full] = s[np.lexsort((-s, r))][first[full] + k - 1]
     return bar
 
 
+def _at_least(m: np.ndarray, bar: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of m's finite values at or over their row's bar, in order. flags: of m's shape or wider, its width a multiple of 8; most groups of 8 have none."""
+    np.greater_equal(m, bar.astype(np.float32)[:, None], out=flags[:, : m.shape[1]])
+    flags[:, m.shape[1] :] = False
+    some = np.flatnonzero(flags.view(np.uint64).astype(bool))
+    g, x = np.nonzero(flags.reshape(-1, 8)[some])
+    y, x = np.divmod(some[g] * 8 + x, flags.shape[1])
+    v = m[y, x]
+    good = np.isfinite(v)
+    return (y, x, v) if good.all() else (y[good], x[good], v[good])
+
+
 def _nearest(a: _Block, b: _Block, same: bool, k: int, threshold: float, w: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of a, row of b, score) of each row's k best at or over threshold, ties by id; k = 0: of all.
 
     Products in 32 bits leave out what can't be among the k best, by a bound on their error (and on what
-    terms may add, at most w); what is left is scored in 64 bits.
+    terms may add, at most w); what is left is scored in 64 bits. Where much is left, as of equal vectors, it
+    is scored as it comes and only the k best of a row stay, so a tile's rows hold a bounded number of pairs.
     """
     if a.width != b.width:
         raise ValueError(f"vectors of {a.width} and {b.width} parts")
     slack = (a.width + 4) * 2.0**-22
     gap = w / (1 - w) + slack if w < 1 else np.inf
+    # a dense product below this can't give the score: (1 - w) * dense + w * [0, 1] is under it
+    dense = lambda score: (score - w) / (1 - w) - slack if w < 1 else np.full_like(score, -np.inf)
     codes = b.ids.dictionary_encode().indices.to_numpy() if same else None  # ids are in order, and so are their codes
     if w > 0:
         to_b = np.searchsorted(b.names, a.names)
         to_b[(to_b == len(b.names)) | (b.names[np.minimum(to_b, len(b.names) - 1)] != a.names if len(b.names) else True)] = len(b.names)
+
+    def scored(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Scores in 64 bits; r is in order."""
+        score = np.concatenate([np.einsum("ij,ij->i", a.v[r[p : p + 65536]], b.v[c[p : p + 65536]]) for p in range(0, len(r), 65536)] or [np.zeros(0)])
+        return (1 - w) * score + w * _sparse(a, b, r, c, to_b) if w > 0 else score
+
     for i in range(0, len(a.ids), TILE):
         left = a.v32[i : i + TILE]
         rows = len(left)
-        # a dense product below this bar can't be in the result: (1 - w) * dense + w * [0, 1] is under threshold, or under k others
-        least = (threshold - w) / (1 - w) - slack if w < 1 else -np.inf
-        bar, r, c, s, merged = np.full(rows, least), [], [], [], 0
+        bar, most = dense(np.full(rows, float(threshold))), 16 * max(k, 1) * TILE
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        best = none  # what was scored: row, row of b, score
+        pile, size, kept = [], 0, 0  # what wasn't
+
+        def gathered() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The pile in the order of rows, then of rows of b, without what the bar leaves out."""
+            r, c, s = (np.concatenate([x[n] for x in pile]) if pile else none[n] for n in range(3))
+            order = np.argsort(r.astype(np.uint16) if rows <= 65_536 else r, kind="stable")
+            r, c, s = r[order], c[order], s[order]
+            if k and w < 1:
+                np.maximum(bar, _kth(r, s, k, rows) - gap, out=bar)
+                stays = s >= bar[r]
+                r, c, s = r[stays], c[stays], s[stays]
+            return r, c, s
+
+        def merged(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """best and pairs (r, c): the k best of each row."""
+            score = scored(i + r, c)
+            good = score >= threshold
+            r, c, score = (np.r_[x, y[good]] for x, y in zip(best, (r, c, score), strict=True))
+            order = np.lexsort((c, -score, r))
+            r, c, score = r[order], c[order], score[order]
+            stays = np.arange(len(r)) - np.searchsorted(r, r) < k if k else slice(None)
+            return r[stays], c[stays], score[stays]
+
         for n, j in enumerate(range(0, len(b.ids), TILE)):
             m = left @ b.v32[j : j + TILE].T
             if same:
@@ -133,35 +183,19 @@ def _nearest(a: _Block, b: _Block, same: bool, k: int, threshold: float, w: floa
                 for extra in range(int((hi - lo).max(initial=0))):
                     hit = np.flatnonzero(lo + extra < hi)
                     m[hit, lo[hit] + extra] = -np.inf
-            if n == 0 and 0 < k < m.shape[1] and w < 1:
-                bar = np.maximum(bar, np.partition(m, m.shape[1] - k, axis=1)[:, m.shape[1] - k] - gap)
-            at = np.flatnonzero(m >= bar[:, None].astype(np.float32))
-            y, x = np.divmod(at, m.shape[1])
-            v = m.ravel()[at]
-            good = np.isfinite(v)
-            r.append(y[good]), c.append(x[good] + j), s.append(v[good].astype(np.float64))
-            if k and w < 1 and (sum(map(len, r)) - merged > 4 * k * rows or n & (n + 1) == 0):
-                r, c, s = ([np.concatenate(p)] for p in (r, c, s))
-                bar = np.maximum(bar, _kth(r[0], s[0], k, rows) - gap)
-                keep = s[0] >= bar[r[0]]
-                r, c, s = [r[0][keep]], [c[0][keep]], [s[0][keep]]
-                merged = len(r[0])
-        r, c, s = (np.concatenate(p) for p in (r, c, s))
-        if k and w < 1 and len(r):
-            keep = s >= np.maximum(bar, _kth(r, s, k, rows) - gap)[r]
-            r, c = r[keep], c[keep]
-        order = np.lexsort((c, r))
-        r, c = r[order], c[order]
-        score = np.concatenate([np.einsum("ij,ij->i", a.v[i + r[p : p + 65536]], b.v[c[p : p + 65536]]) for p in range(0, len(r), 65536)] or [np.zeros(0)])
-        if w > 0:
-            score = (1 - w) * score + w * _sparse(a, b, i + r, c, to_b)
-        keep = score >= threshold
-        r, c, score = r[keep], c[keep], score[keep]
-        if k and len(r):
-            order = np.lexsort((c, -score, r))
-            rank = np.arange(len(r)) - np.searchsorted(r[order], r[order])
-            order = order[rank < k]
-            r, c, score = r[order], c[order], score[order]
+            if n == 0 and w < 1 and 0 < k < (few := min(m.shape[1], FIRST)):
+                np.maximum(bar, np.partition(m[:, :few], few - k, axis=1)[:, few - k] - gap, out=bar)
+            y, x, v = _at_least(m, bar, np.empty((rows, -(-m.shape[1] // 8) * 8), bool))
+            pile.append((y, x + j, v))
+            size += len(y)
+            if k and (size - kept > 4 * k * rows or n & (n + 1) == 0):
+                pile = [gathered()]
+                size = kept = len(pile[0][0])
+                if size > most:
+                    best = merged(*pile[0][:2])
+                    np.maximum(bar, dense(_kth(best[0], best[2], k, rows)), out=bar)
+                    pile, size, kept = [], 0, 0
+        r, c, score = merged(*gathered()[:2])
         yield i + r, c, score
 
 
@@ -188,7 +222,7 @@ def neighbours(vectors: DataFrame, k: int, threshold: float = -1.0, weight: floa
     spark = vectors.sparkSession
     w = max(0.0, min(1.0, weight))
     # terms are larger than vectors; where they weigh much, vectors leave out little
-    block_rows = block_rows or (BLOCK_ROWS if w == 0 else BLOCK_ROWS // 4 if w <= 0.25 else TILE)
+    block_rows = block_rows or (BLOCK_ROWS if w == 0 else BLOCK_ROWS // 4 if w <= 0.25 else 2048)
     own = vectors.where("id IS NOT NULL AND vector IS NOT NULL")
     n = own.count()
     blocks = max(1, math.ceil(n / block_rows), min(SIDE, n // LEAST))
@@ -203,8 +237,8 @@ def neighbours(vectors: DataFrame, k: int, threshold: float = -1.0, weight: floa
     with batches_of(spark, 4096):
         packs = written(dealt.repartition(min(blocks, 1024), "blk").sortWithinPartitions("blk").mapInArrow(_packed, schema), "packs")
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    # as many tasks as pairs of blocks and more, however few bytes they read
-    tasks = min(2 * blocks * blocks, 4096)
+    # as many tasks as pairs of blocks and more, however few bytes they read; pairs of large blocks seldom share one
+    tasks = min((2 if blocks <= SIDE else 8) * blocks * blocks, 4096)
     left = packs.withColumnRenamed("blk", "i").withColumn("j", others).repartition(tasks, "i", "j")
     right = packs.withColumnRenamed("blk", "rj").withColumn("ri", others).repartition(tasks, "ri", "rj")
 
