@@ -25,9 +25,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     are dropped. No edges: no rows. More than max_rounds rounds raise, results are never partial.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    loops = e.where("a = b").select(F.col("a").alias("node")).distinct()
-    # u > v always; one row per undirected edge
-    cur = checkpointed(e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    # edges are computed once; u >= v, one row per undirected edge
+    first = checkpointed(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    loops = first.where("u = v").select(F.col("u").alias("node"))
+    cur = first.where("u > v")
     state = _state(cur)
     for _ in range(max_rounds):
         if state[0] == 0:

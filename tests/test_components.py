@@ -36,3 +36,16 @@ def test_random_and_path_and_hub(spark):
 def test_empty_and_null_ends(spark):
     assert run(spark, []) == {}
     assert run(spark, [(None, 1), (3, 3)]) == {3: 3}
+
+
+def test_edges_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(1, 2), (3, 3)], "src long, dst long").mapInArrow(counted, "src long, dst long")
+    assert {r["node"]: r["component"] for r in connected_components(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert seen.value == 2
