@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shelfgraph.operators import extraction, normalize, text
@@ -56,3 +57,34 @@ def test_keyword_list_equals_a_plain_count(spark):
     words = [w for w in t.lower().split() if len(w) > 2 and w != "the" and not w.isdigit()]
     want = [w for w, _ in sorted(collections.Counter(words).items(), key=lambda x: (-x[1], words.index(x[0])))][:3]
     assert spark.createDataFrame([(t,), (None,)], "t string").select(text.keyword_list(F.col("t"), 3).alias("k")).collect() == [(want,), ([],)]
+
+
+def test_keywords_are_counted_once_a_text(spark):
+    """An explode brings filters on its list, which had each text's words counted three times."""
+    none = "cast(null as array<struct<author_id: string, role: string>>)"
+    names = [f"cast(null as string) {c}" for c in ("title", "title_without_series", "image_url", "url", "link", "publication_year", "publication_month", "publication_day", "edition_information", "isbn13", "isbn", "num_pages", "publisher", "format", "kindle_asin", "asin", "language_code", "country_code")]
+    texts = ["sea map sea", "map map old sea sea", "a 12", None, "x " * 40 + "sea"]
+    books = spark.createDataFrame(list(enumerate(texts)), "id long, description string").selectExpr(
+        "cast(id as string) book_id", "'1' work_id", "description", *names, f"{none} authors", "cast(array() as array<string>) similar_books", "cast(array() as array<struct<name: string>>) popular_shelves", "cast(array() as array<string>) series")
+    table = extraction.book_table(books)
+    tags = extraction.tag_table(table, table.limit(0))
+    assert sorted((t.tag_name, t.tag_type, t.occurrences) for t in tags.collect()) == [("map", "keyword", 2), ("old", "keyword", 1), ("sea", "keyword", 3)]
+    plan = table.select(F.explode("keywords"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_keywords_of_long_texts_and_slices(spark, monkeypatch):
+    """Rows of several slices, ties at the cut, rows without words."""
+    import collections
+    import random
+
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(30)}x" for _ in range(rnd.choice([0, 1, 5, 200]))) for _ in range(60)]
+    want = [[w for w, _ in collections.Counter(t.split()).most_common(4)] for t in texts]
+    lists = pa.array([t.split() for t in texts], pa.list_(pa.string()))
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(text, "SLICE", size)
+        assert [[x["w"] for x in row] for row in text._most_frequent(4)(lists).to_pylist()] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.id, r["rank"]): (r.keyword, r.n) for r in text.top_keywords(df, 4).collect()}
+    assert got == {(i, n + 1): x for i, t in enumerate(texts) for n, x in enumerate(collections.Counter(t.split()).most_common(4))}
